@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 from itertools import chain, islice
 
@@ -27,8 +28,11 @@ from pyspark.sql import functions as F
 
 from echolark.llm.textbytes import mix, run_hashes
 
+#: Letters of the plainer pattern, and what it is not used on.
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+OTHER = re.compile(rf"[^\x00-\x1b\x20-\x7e{LATIN}]")
 MAX_VOCABULARY = 1_000_000
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 400_000
 PIECE = 16_384
 
 
@@ -40,7 +44,7 @@ class PerfectHash:
         n = max(1, len(hashes))
         if len(np.unique(hashes)) != len(hashes):
             raise ValueError("two vocabulary entries share a 64-bit hash")
-        self.n, self.buckets = n, max(1, n // 4)
+        self.n, self.buckets = n, max(1, n // 2)
         self.displacement = np.zeros(self.buckets, np.int64)
         self.slot_key = np.full(n, -1, np.int64)
         bucket = (hashes % np.uint64(self.buckets)).astype(np.int64)
@@ -50,12 +54,7 @@ class PerfectHash:
         for keys in sorted(groups, key=len, reverse=True):
             if len(keys) == 1:
                 break
-            for d in range(1, 1 << 20):
-                slots = self._slots(hashes[keys], np.int64(d))
-                if free[slots].all() and len(set(slots.tolist())) == len(keys):
-                    break
-            else:
-                raise ValueError("no displacement found")
+            d, slots = self._placed(hashes[keys], free)
             free[slots] = False
             self.slot_key[slots] = keys
             self.displacement[bucket[keys[0]]] = d
@@ -69,6 +68,17 @@ class PerfectHash:
     def _slots(self, hashes: np.ndarray, d: np.ndarray) -> np.ndarray:
         return (mix(hashes ^ (np.asarray(d).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(self.n)).astype(np.int64)
 
+    def _placed(self, hashes: np.ndarray, free: np.ndarray) -> tuple[int, np.ndarray]:
+        """The first displacement that sends all of a bucket to different free slots; tried in growing blocks."""
+        d, block = 1, 8
+        while d < 1 << 24:
+            slots = self._slots(hashes[None, :], np.arange(d, d + block)[:, None])
+            for k in np.flatnonzero(free[slots].all(axis=1)).tolist():
+                if len(set(slots[k].tolist())) == len(hashes):
+                    return d + k, slots[k]
+            d, block = d + block, min(2 * block, 4096)
+        raise ValueError("no displacement found")
+
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """The only key that each hash can be, or -1."""
         d = self.displacement[(hashes % np.uint64(self.buckets)).astype(np.int64)]
@@ -97,9 +107,11 @@ class Tokenizer:
         self.decimal = [str(i) for i in range(len(self.pieces))]
         self.memo: dict[str, tuple[int, ...]] = {}
         self.split = regex.compile(self.pattern)
+        plain = self.pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{LATIN}0-9]").replace(r"\p{L}", f"[{LATIN}]").replace(r"\p{N}", "[0-9]")
+        self.quick = re.compile(plain) if r"\p" not in plain else None
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("decimal", "memo", "split")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("decimal", "memo", "split", "quick")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
@@ -112,40 +124,46 @@ class Tokenizer:
 
     def merged(self, word: bytes) -> tuple[int, ...]:
         """Ids of one pre-token by merging linked bytes, lowest rank first."""
-        ranks, n = self.ranks, len(word)
+        ranks, n = self.ranks.get, len(word)
         after, before, size = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
-        heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+        heap = [(r, i, 2) for i in range(n - 1) if (r := ranks(word[i : i + 2])) is not None]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, width = heapq.heappop(heap)
+            _, i, width = pop(heap)
             if not size[i] or (j := after[i]) >= n or size[i] + size[j] != width:
                 continue
-            size[i], size[j], after[i] = width, 0, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := ranks.get(word[i : after[i] + size[after[i]]])) is not None:
-                    heapq.heappush(heap, (r, i, width + size[after[i]]))
-            if (h := before[i]) >= 0 and (r := ranks.get(word[h : i + width])) is not None:
-                heapq.heappush(heap, (r, h, size[h] + width))
-        return tuple(ranks[word[i : i + size[i]]] for i in range(n) if size[i])
-
-    def learn(self, tokens: set[str]) -> None:
+            size[i], size[j] = width, 0
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := ranks(word[i : k + size[k]])) is not None:
+                    push(heap, (r, i, width + size[k]))
+            h = before[i]
+            if h >= 0 and (r := ranks(word[h : i + width])) is not None:
+                push(heap, (r, h, size[h] + width))
+        rank = self.ranks
+        return tuple([rank[word[i : i + z]] for i, z in enumerate(size) if z])
+
+    def learn(self, words: list[str]) -> None:
         """Puts pre-tokens into the memo: by the perfect hash where it has them, else by merging."""
-        if len(self.memo) + len(tokens) > MEMO_ENTRIES:
-            self.memo.clear()
-        words = list(tokens)
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         for word, key, k in zip(words, raw, self.table.lookup(hashes_of(raw)).tolist(), strict=True):
             self.memo[word] = (self.ids[k],) if k >= 0 and self.keys[k] == key else self.merged(key)
 
+    def tokens(self, text: str) -> list[str]:
+        """The pre-tokens; a plainer pattern, equal on the letters of LATIN, is twice as fast."""
+        return (self.quick if self.quick and not OTHER.search(text) else self.split).findall(text)
+
     def encode_pieces(self, text: str) -> Iterator[list[int]]:
         """Ids of the text, PIECE pre-tokens at a time."""
         matches = (m.group() for m in self.split.finditer(text))
-        while tokens := list(islice(matches, PIECE)) if len(text) > 4 * PIECE else self.split.findall(text):
-            if new := set(tokens) - self.memo.keys():
+        while tokens := list(islice(matches, PIECE)) if len(text) > 4 * PIECE else self.tokens(text):
+            if new := [w for w in set(tokens) if w not in self.memo]:
+                if len(self.memo) + len(new) > MEMO_ENTRIES:
+                    self.memo.clear()
+                    new = list(set(tokens))
                 self.learn(new)
-                if missing := set(tokens) - self.memo.keys():
-                    self.learn(missing)
             yield list(chain.from_iterable(map(self.memo.__getitem__, tokens)))
             if len(text) <= 4 * PIECE:
                 return
