@@ -11,7 +11,8 @@ the threshold shares fewer is below 1e-6). Two steps keep lists short without lo
 Equal shingle sets are one class before anything is posted. In each list documents first meet only
 its most central member (of the longest lists overall); confirmed links make components. Lists that
 then hold more than one component have their members outside the leader's component compared with
-all members, in blocks; pairs inside a component need no test, so no link between components is lost.
+all members, in blocks and under an exact bound; pairs inside a component need no test, so no link
+between components is lost.
 Every candidate is confirmed on full shingle sets.
 
 Defined cases: null, empty or all-space texts have an empty set and are linked with nothing; texts
@@ -137,28 +138,65 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return staged(joined.where(F.arrow_udf(test, "boolean")("text_a", "text_b")).select("a", "b"))
 
 
-def residual_pairs(postings: DataFrame, leaders: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+def differences(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(leader, node, own): the shingles of a node that its leader lacks."""
+
+    def lacking(leader: pa.Array, node: pa.Array) -> pa.Array:
+        keys, sizes, step = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 256
+        for start in range(0, len(node), step):
+            sides = []
+            for side in (leader.slice(start, step), node.slice(start, step)):
+                base, docs, held = 0, [], []
+                for t in texts_of(side):
+                    doc, key = shingle_sets(t, width)
+                    docs.append(doc + base)
+                    held.append(key)
+                    base += len(t)
+                sides.append((np.concatenate(docs), np.concatenate(held)))
+            mark = lambda side: mix(sides[side][1] ^ mix(sides[side][0].astype(np.uint64)))
+            own = ~np.isin(mark(1), mark(0))
+            keys.append(sides[1][1][own])
+            sizes.append(np.bincount(sides[1][0][own], minlength=min(step, len(node) - start)))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)))
+
+    side = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
+    joined = pairs.join(side("leader"), "leader").join(side("node"), "node")
+    return staged(joined.select("leader", "node", F.arrow_udf(lacking, "array<bigint>")("text_leader", "text_node").alias("own")))
+
+
+def residual_pairs(postings: DataFrame, leaders: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Candidates between different components of one list: members outside the leader's component
-    against all, in blocks of about BLOCK_ROWS, where the signatures share MATCHES pairs."""
+    against all, in blocks of about BLOCK_ROWS, where the signatures share MATCHES pairs and a bound
+    allows a link: two sets share at most what the smaller shares with the leader, and what both have
+    beyond the leader. The bound is exact for what differs, so copies of one text with changes of their
+    own are told apart without a test of each pair."""
     of = labels.select("node", "label")
     placed = postings.join(of, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     placed = staged(placed)
     mixed = placed.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("size")).where("l0 != l1")
-    first = leaders.join(of.withColumnRenamed("node", "leader"), "leader", "left").select("key", F.coalesce("label", "leader").alias("main"))
-    lists = staged(mixed.join(first, "key").select("key", "size", "main"))
-    members = placed.join(lists, "key").join(nodes.select("node", "sig"), "node")
+    first = leaders.join(of.withColumnRenamed("node", "leader"), "leader", "left").select("key", "leader", F.coalesce("label", "leader").alias("main"))
+    lists = staged(mixed.join(first, "key").select("key", "size", "main", "leader"))
+    members = staged(placed.join(lists, "key").join(nodes.select("node", "sig", "n"), "node"))
+    beyond = differences(members.where("node != leader").select("leader", "node").distinct(), texts, width)
+    members = members.join(beyond, ["leader", "node"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<bigint>")))
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    members = staged(members.withColumns({"outside": F.col("label") != F.col("main"), "blocks": blocks}))
-    own = members.select("key", F.pmod(F.hash("node"), "blocks").alias("block"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("sig").alias("sa"), F.col("outside").alias("oa"))
-    probes = members.where("outside").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sig").alias("sb"))
-    met = own.join(probes, ["key", "block"]).where((F.col("la") != F.col("lb")) & (~F.col("oa") | (F.col("a") < F.col("b"))) & (F.size(F.array_intersect("sa", "sb")) >= MATCHES))
-    return met.select("a", "b").distinct()
+    members = staged(members.withColumns({"outside": F.col("label") != F.col("main"), "blocks": blocks, "inside": F.col("n") - F.size("own")}))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "sig", "n", "own", "inside", "outside")]
+    left = members.select("key", F.pmod(F.hash("node"), "blocks").alias("block"), *side("a"))
+    right = members.where("outside").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *side("b"))
+    most = F.least("inside_a", "inside_b") + F.size(F.array_intersect("own_a", "own_b"))
+    sizes = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
+    alike = F.size(F.array_intersect("sig_a", "sig_b")) >= MATCHES
+    possible = F.lit(100) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - most)
+    once = ~F.col("outside_a") | (F.col("node_a") < F.col("node_b"))
+    met = left.join(right, ["key", "block"]).where((F.col("label_a") != F.col("label_b")) & once & sizes & possible & alike)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_classes(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
     """_row, doc_id, n_shingles, component_id and kept of rows from with_signatures()."""
     full = rows.where("_n > 0")
-    nodes = full.groupBy("_k1", "_k2").agg(F.min("_row").alias("node"), F.min(doc_id).alias("least"), F.first("_sig").alias("sig"))
+    nodes = full.groupBy("_k1", "_k2").agg(F.min("_row").alias("node"), F.min(doc_id).alias("least"), F.first("_sig").alias("sig"), F.first("_n").alias("n"))
     nodes = staged(nodes)
     postings = prefix_postings(nodes)
     leaders = postings.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("top"), F.count(F.lit(1)).alias("size"))
@@ -167,7 +205,7 @@ def near_classes(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     texts = rows.select(F.col("_row").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     links = linked(stars, texts, width, percent)
     labels = staged(components(links))
-    more = residual_pairs(postings, leaders, labels, nodes)
+    more = residual_pairs(postings, leaders, labels, nodes, texts, width, percent)
     tested = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = staged(more.join(tested, ["a", "b"], "left_anti"))
     if not more.isEmpty():
