@@ -1,4 +1,8 @@
 """Every registered query of the acoustic and decision engine, with its SQL twin."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from echolark.operators import calibration, kernels, relational, scoring, sequences
+from echolark.streaming import sessions
+
+MODULES = (scoring, relational, sequences, calibration, kernels, sessions)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL = {k: sql for m in MODULES for k, sql in m.ORACLE_SQL.items()}
