@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_held: ContextVar[list[str] | None] = ContextVar("held", default=None)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,5 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    if (held := _held.get()) is not None:
+        held.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def holding(paths: list[str]) -> Iterator[None]:
+    """Notes in `paths` what staged() writes meanwhile."""
+    token = _held.set(paths)
+    try:
+        yield
+    finally:
+        _held.reset(token)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bounds the Arrow batches of long texts, so that Python workers stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
