@@ -26,13 +26,14 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echolark.core import small_batches
 from echolark.llm.textbytes import mix, run_hashes
 
 #: Letters of the plainer pattern, and what it is not used on.
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 OTHER = re.compile(rf"[^\x00-\x1b\x20-\x7e{LATIN}]")
 MAX_VOCABULARY = 1_000_000
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 150_000
 PIECE = 16_384
 
 
@@ -229,6 +230,7 @@ def public_tokenizer(spark: SparkSession, name: str = "byte_bpe_multi_50k.tiktok
 
 def tokenised(docs: DataFrame, tokenizer=None) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256."""
+    small_batches(docs.sparkSession)
     tokenizer = tokenizer or public_tokenizer(docs.sparkSession)
     return docs.withColumn("_d", digested(tokenizer, F.col("text"))).withColumns({k: F.col(f"_d.{k}") for k in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("_d")
 

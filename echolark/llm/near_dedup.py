@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolark.core import staged
+from echolark.core import small_batches, staged
 from echolark.llm.components import components
 from echolark.llm.textbytes import LOWER, Texts, mix, run_hashes, texts_of, windows, words_of
 
@@ -86,7 +86,7 @@ def signatures(column: pa.Array, width: int) -> pa.Array:
 
 def overlap_of(left: pa.Array, right: pa.Array, width: int) -> np.ndarray:
     """(intersection, union) sizes of the shingle sets of each pair of texts."""
-    out, step = [np.zeros((0, 2), np.int64)], 256
+    out, step = [np.zeros((0, 2), np.int64)], 64
     for start in range(0, len(left), step):
         a, b = left.slice(start, step), right.slice(start, step)
         sides = []
@@ -109,6 +109,7 @@ def overlap_of(left: pa.Array, right: pa.Array, width: int) -> np.ndarray:
 
 def with_signatures(df: DataFrame, width: int, text: str = "text") -> DataFrame:
     """df, staged, with a row number and the signature columns."""
+    small_batches(df.sparkSession)
     sign = F.arrow_udf(lambda x: signatures(x, width), "struct<n:bigint,k1:bigint,k2:bigint,sig:array<bigint>>")
     own = df.withColumns({"_row": F.monotonically_increasing_id(), "_s": sign(F.col(text))})
     return staged(own.withColumns({"_n": F.col("_s.n"), "_k1": F.col("_s.k1"), "_k2": F.col("_s.k2"), "_sig": F.col("_s.sig")}).drop("_s"))
@@ -142,7 +143,7 @@ def differences(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(leader, node, own): the shingles of a node that its leader lacks."""
 
     def lacking(leader: pa.Array, node: pa.Array) -> pa.Array:
-        keys, sizes, step = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 256
+        keys, sizes, step = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 64
         for start in range(0, len(node), step):
             sides = []
             for side in (leader.slice(start, step), node.slice(start, step)):

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echolark.core import small_batches
 from echolark.llm.textbytes import SPACE, lines_of, per_doc, run_hashes, span_counts, texts_of, windows, words_of
 
 MAX_TRAINING = 20_000
@@ -83,6 +84,7 @@ def _stats(column: pa.Array) -> pa.Array:
 
 def text_stats(df: DataFrame, text: str = "text") -> DataFrame:
     """df with COUNTS and base_failed."""
+    small_batches(df.sparkSession)
     stats = F.arrow_udf(_stats, "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">")
     own = df.withColumn("_stats", stats(F.col(text)))
     out = own.withColumns({c: F.col(f"_stats.{c}") for c in COUNTS}).drop("_stats")

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echolark.core import small_batches
+
 SAMPLE_DOCS = 2_000
 MAX_REGION_TOKENS = 120
 REACH = 100
@@ -61,7 +63,7 @@ def file_features(text: str) -> list[str]:
     return [f"file:{name}" for name, on in (("assigns", " = " in text or "=\"" in text), ("braces", "{" in text), ("keys", "-----BEGIN" in text), ("long", len(text) > 10_000)) if on] + ["file:any"]
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def shape_features(token: str) -> tuple[str, ...]:
     n, digits = len(token), sum(c.isdigit() for c in token)
     letters = [c for c in token if c.isalpha()]
@@ -136,7 +138,7 @@ class Field:
     def _part(self, place: str, token: str | None) -> tuple[float, float, float]:
         key = (place, token or "")
         if (found := self.memo.get(key)) is None:
-            if len(self.memo) > 200_000:
+            if len(self.memo) > 100_000:
                 self.memo.clear()
             found = self.memo[key] = self._sum(shape_features(token) if place == "own" else [f"{place}:{word_feature(token)}"])
         return found
@@ -233,6 +235,7 @@ def fit_field(sequences: list[tuple[list[str], list[int], list[str]]], steps: in
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     """A field trained on the regions of at most sample_docs documents, in order of a hash of their id."""
+    small_batches(docs.sparkSession)
     chosen = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64(F.lit(29), "doc_id")).limit(sample_docs)
     kind = pa.list_(pa.struct([("tokens", pa.list_(pa.string())), ("tags", pa.list_(pa.int32()))]))
     mark = F.arrow_udf(lambda c: pa.array([[{"tokens": a, "tags": b} for a, b in tagged(x.as_py() or "")][:40] for x in c], kind), "array<struct<tokens:array<string>,tags:array<int>>>")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from echolark.core import staged
+from echolark.core import small_batches, staged
 from echolark.llm import textbytes
 from echolark.llm.suffix_array import common_prefixes, suffix_array, words8
 from echolark.llm.textbytes import BYTE_CODES, Texts, mix, powers, texts_of
@@ -37,7 +37,7 @@ SPAN, GRAM = 100, 32
 PLACES = SPAN - GRAM + 1
 SAMPLE_DOCS, SAMPLE_SHARE, MAX_FREQUENT, SALTS = 2_000, 200, 1_000, 64
 PIECE_RUNS = 4_096
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 512 << 10
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _INVERSE = pow(int(textbytes._MULTIPLIER), -1, 1 << 64)
 _inverses = np.ones(1, np.uint64)
@@ -256,6 +256,7 @@ def _kept(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte spans of each document."""
+    small_batches(docs.sparkSession)
     docs = _numbered(docs)
     spans = repeated_spans(docs).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("held"))
     judge = F.arrow_udf(_kept, "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept_sha256:string,spans:array<struct<start:bigint,stop:bigint>>>")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolark.core import staged
+from echolark.core import small_batches, staged
 
 MAX_TRAINING = 20_000
 MAX_TERMS = 400
@@ -39,7 +39,7 @@ TOKEN_SQL = r"[^\p{L}\p{N}_@$*]+"
 THRESHOLD = 0.7
 CONTEXT = 6
 MIN_PRECISION = 0.8
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 #: Characters that stand for letters.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 REPORTING = frozenset("said says say wrote writes called calls quoted quote quotes word words term insult insults dit mot cita dijo palabra sagte wort zitat".split())
@@ -242,6 +242,7 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
 def fit(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING) -> Scorer:
     """A scorer from documents and labels.toxic, outside the held-out third: the lexicon from three
     fifths of the rows, the weights from the others, which the exceptions were not drawn from."""
+    small_batches(docs.sparkSession)
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     chosen = chosen.orderBy(F.xxhash64(F.lit(13), "doc_id"), "toxic").limit(max_training)
     train = staged(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(16, "doc_id"))
