@@ -56,7 +56,7 @@ def calibrate_far_frr(spark: SparkSession, sf_dir: str, max_far: float = 0.9, ma
     w = Window.partitionBy("lang")
     upto = w.orderBy("n_chars").rowsBetween(Window.unboundedPreceding, 0)
     c = v.withColumns({"above": F.sum("bad").over(w) - F.sum("bad").over(upto), "below": F.sum("good").over(upto), "nb": F.sum("bad").over(w), "ng": F.sum("good").over(w)})
-    c = c.withColumns({"far": F.col("above") / F.col("nb"), "frr": F.col("below") / F.col("ng")}).where((F.col("far") <= max_far) & (F.col("frr") <= max_frr))
+    c = c.withColumns({"far": F.try_divide("above", "nb"), "frr": F.try_divide("below", "ng")}).where((F.col("far") <= max_far) & (F.col("frr") <= max_frr))
     best = c.groupBy("lang").agg(F.min(F.struct(F.round(F.col("far") + F.col("frr"), 9).alias("total"), F.round("far", 9).alias("far"), F.col("n_chars").alias("t"), F.round("frr", 9).alias("frr"))).alias("b"))
     return best.select("lang", F.col("b.t").alias("threshold"), F.round("b.far", 6).alias("far"), F.round("b.frr", 6).alias("frr"))
 
@@ -69,7 +69,7 @@ def psi_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = e.join(F.broadcast(edges), "event_type").withColumn("bin", F.size(F.filter("edges", lambda x: x <= F.col("value"))))
     h = b.groupBy("event_type", "bin").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
     w = Window.partitionBy("event_type")
-    share = lambda c: F.greatest(F.col(c) / F.sum(c).over(w), F.lit(1e-6))
+    share = lambda c: F.greatest(F.coalesce(F.try_divide(F.col(c), F.sum(c).over(w)), F.lit(0.0)), F.lit(1e-6))
     h = h.withColumns({"pa": share("a"), "pb": share("b")})
     return h.groupBy("event_type").agg(F.round(F.sum((F.col("pb") - F.col("pa")) * F.ln(F.col("pb") / F.col("pa"))), 6).alias("psi"))
 
@@ -84,10 +84,10 @@ ORACLE_SQL = {
     "decision_cascade": _PH + "SELECT attempt, CASE WHEN count(*) < 2 THEN 'RETRY' WHEN bool_or(status = 'NOT_SCORABLE') THEN 'UNDECIDABLE' WHEN bool_or(status = 'FAIL') THEN 'INCORRECT' WHEN bool_and(status = 'PASS') THEN 'CORRECT' ELSE 'UNDECIDABLE' END AS status FROM ph GROUP BY 1",
     "decision_features": _PH + "SELECT attempt, round(avg(score) + 1e-9, 5) AS mean_score, round(min(score), 5) AS min_score, round(avg(confidence) + 1e-9, 5) AS mean_confidence, round(min(confidence), 5) AS min_confidence FROM ph WHERE score > -20 GROUP BY 1",
     "calibrate_far_frr": """WITH s AS (SELECT lang, n_chars, quality FROM documents JOIN labels USING (doc_id)), t AS (SELECT DISTINCT lang, n_chars AS t FROM s),
-      r AS (SELECT t.lang, t.t, count_if(quality = 0 AND n_chars > t.t) / count_if(quality = 0) AS far, count_if(quality = 1 AND n_chars <= t.t) / count_if(quality = 1) AS frr FROM t JOIN s USING (lang) GROUP BY 1, 2)
+      r AS (SELECT t.lang, t.t, count_if(quality = 0 AND n_chars > t.t) / nullif(count_if(quality = 0), 0) AS far, count_if(quality = 1 AND n_chars <= t.t) / nullif(count_if(quality = 1), 0) AS frr FROM t JOIN s USING (lang) GROUP BY 1, 2)
       SELECT lang, t AS threshold, round(far, 6) AS far, round(frr, 6) AS frr FROM r WHERE far <= 0.9 AND frr <= 0.9 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY round(far + frr, 9), round(far, 9), t) = 1""",
     "psi_drift": """WITH e AS (SELECT event_type, value, user_id % 2 AS side FROM events), q AS (SELECT event_type, quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges FROM e WHERE side = 0 GROUP BY 1),
       b AS (SELECT e.*, len(list_filter(edges, lambda x: x <= value)) AS bin FROM e JOIN q USING (event_type)), h AS (SELECT event_type, bin, count_if(side = 0) AS a, count_if(side = 1) AS b FROM b GROUP BY 1, 2),
-      s AS (SELECT event_type, greatest(a / sum(a) OVER (PARTITION BY event_type), 1e-6) AS pa, greatest(b / sum(b) OVER (PARTITION BY event_type), 1e-6) AS pb FROM h)
+      s AS (SELECT event_type, greatest(coalesce(a / nullif(sum(a) OVER (PARTITION BY event_type), 0), 0), 1e-6) AS pa, greatest(coalesce(b / nullif(sum(b) OVER (PARTITION BY event_type), 0), 0), 1e-6) AS pb FROM h)
       SELECT event_type, round(sum((pb - pa) * ln(pb / pa)), 6) AS psi FROM s GROUP BY 1""",
 }
