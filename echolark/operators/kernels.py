@@ -36,9 +36,12 @@ def _paired(f):
 
 
 def medoid_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to four medoids of each word among 36 training rows at most, by warped distance."""
+    """Up to four medoids of each word by warped distance, among CANDIDATES rows evenly spaced over the ids at most."""
     t = temporal(spark, sf_dir).where("split = 'train'")
-    t = t.withColumn("k", F.row_number().over(Window.partitionBy("word").orderBy("recording_id"))).where(F.col("k") <= CANDIDATES)
+    w = Window.partitionBy("word")
+    t = t.withColumns({"k": F.row_number().over(w.orderBy("recording_id")) - 1, "n": F.count(F.lit(1)).over(w)})
+    spaced = F.transform(F.sequence(F.lit(0), F.lit(CANDIDATES - 1)), lambda i: F.floor(i * (F.col("n") - 1) / (CANDIDATES - 1)))
+    t = t.where((F.col("n") <= CANDIDATES) | F.array_contains(spaced, F.col("k").cast("bigint")))
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("recording_id").reset_index(drop=True)
