@@ -1,14 +1,16 @@
 r"""Secret scans by a linear-chain conditional random field over tokens.
 
 Three fixed patterns give base spans (`assign`, `access`, `hex`). The field tags tokens as begin,
-inside or outside of a secret from their shape, the two words before and the one after, and features
-of the whole file, decoded by Viterbi; its spans (`crf`) that touch no base span are added. It is
-trained here on the base spans of a bounded sample, half of the time with the key word before the
-secret hidden, so that shape and surroundings must suffice.
+inside or outside of a secret from their shape, the two words before and the one after, whether they
+are the value of a name that speaks of secrets (`cues`), and features of the whole file, decoded by
+Viterbi; its spans (`crf`) that touch no base span are added. It is trained here on the base spans of
+a bounded sample, half of the time with the key word before the secret hidden, so that shape and
+surroundings must suffice; copies with letters only keep their key word.
 
-The field's sequences are regions: REACH characters and more around every token that is no plain word
-(marked words, tokens with a digit, runs of PLAIN letters). Plain words and marks elsewhere are
-outside by definition, so prose costs one pattern search.
+Training reads regions: REACH characters and more around every token that is no plain word (marked
+words, tokens with a digit, runs of PLAIN letters). A text is decoded whole: Viterbi leaves out only
+tokens for which an upper bound shows that every path with a secret there loses to the one without,
+so the tags are those of the whole sequence (`Field.tags`).
 
 Defined cases: null counts as empty and has no spans; a pattern's matches are leftmost and do not
 overlap, and a match that is too short is dropped with the text it covers; without any base span in
@@ -20,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -40,6 +43,10 @@ KEY_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MARKED = (*KEY_WORDS, "key", "api", "akia", "bearer", "auth", "private")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: Words in names whose values are secrets; names are split at marks and camel case.
+NAMES = {*KEY_WORDS, "key", "auth", "bearer", "private", "pwd", "pass", "passphrase", "passcode", "credential", "credentials", "passwords", "secrets", "tokens"}
+PARTS = re.compile(r"[^\W\d_][^\W\d_A-Z]+|[^\W\d_]+?(?![^\W\d_])|[A-Z]+(?=[A-Z])")
+STEMS = [x for x in NAMES if not any(y in x and y != x for y in NAMES)]
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 #: A marked word, a token with a digit, or one of PLAIN letters and more; possessive, so linear in the text.
 ODD = re.compile(rf"\b(?i:{'|'.join(MARKED)})\b|(?<![^\W_])[^\W\d_]{{0,{PLAIN - 1}}}+[^\W_]++")
@@ -84,8 +91,33 @@ def word_feature(token: str | None) -> str:
     return token.lower() if token.lower() in MARKED else shape_features(token)[0]
 
 
+def speaks_of_secrets(token: str) -> bool:
+    low = token.lower()
+    return low in NAMES or any(x in low for x in STEMS) and any(x.lower() in NAMES for x in PARTS.findall(token))
+
+
+def cues(tokens: list[str], named: Iterable[int] | None = None) -> list[int]:
+    """Places of values: a name that holds a word of NAMES, other parts of it joined by marks, a sign, the value."""
+    found, n = [], len(tokens)
+    for i in (k for k, t in enumerate(tokens) if speaks_of_secrets(t)) if named is None else named:
+        j = i + 1
+        while j + 1 < n and tokens[j] in "_-." and tokens[j + 1].isalnum():
+            j += 2
+        if j < n and tokens[j] in "\"'":
+            j += 1
+        signs = j
+        while j < n and tokens[j] in ":=":
+            j += 1
+        if signs < j:
+            while j < n and tokens[j] in "\"'`":
+                j += 1
+            if j < n and tokens[j].isalnum():
+                found.append(j)
+    return found
+
+
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of text to decode: around every token that is not a plain word."""
+    """Stretches of text to learn from: around every token that is not a plain word."""
     out: list[list[int]] = []
     for m in ODD.finditer(text):
         a, b = max(0, m.start() - REACH), m.end() + REACH
@@ -122,10 +154,12 @@ class Field:
         self._fresh()
 
     def _fresh(self) -> None:
-        self.memo: dict[tuple[str, str], tuple[float, float, float]] = {}
+        self.ids: dict[str, int] = {}
+        self.rows: dict[tuple, int] = {}
+        self.parts, self.named = np.zeros((0, 4, 3)), np.zeros(0, bool)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "memo"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "rows", "parts", "named")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
@@ -135,53 +169,90 @@ class Field:
         rows = [self.weights[n] for n in names if n in self.weights]
         return tuple(map(sum, zip(*rows, strict=True))) if rows else (0.0, 0.0, 0.0)
 
-    def _part(self, place: str, token: str | None) -> tuple[float, float, float]:
-        key = (place, token or "")
-        if (found := self.memo.get(key)) is None:
-            if len(self.memo) > 100_000:
-                self.memo.clear()
-            found = self.memo[key] = self._sum(shape_features(token) if place == "own" else [f"{place}:{word_feature(token)}"])
-        return found
-
-    def decode(self, tokens: list[str], file: tuple[float, float, float]) -> list[int]:
-        """The best tags of a run of tokens."""
-        part, t = self._part, self.transitions
-        padded = [None, None, *tokens, None]
-        score, back = None, []
-        for k in range(len(tokens)):
-            parts = (part("own", padded[k + 2]), part("p1", padded[k + 1]), part("p2", padded[k]), part("n1", padded[k + 3]), file)
-            e = [sum(x[y] for x in parts) for y in (O, B, I)]
-            if score is None:
-                score, best = [e[O], e[B], NEVER], (O, O, O)
-            else:
-                best = tuple(max((O, B, I), key=lambda p, y=y: score[p] + t[p][y]) for y in (O, B, I))
-                score = [score[best[y]] + t[best[y]][y] + e[y] for y in (O, B, I)]
+    def _numbered(self, tokens: list[str]) -> np.ndarray:
+        """Rows of `parts` for the tokens: what each adds by its own shape, and as a neighbour."""
+        if len(self.ids) > 200_000:
+            self._fresh()
+        ids, made = self.ids, []
+        for token in set(tokens).difference(ids):
+            named = speaks_of_secrets(token)
+            look = (shape_features(token), word_feature(token), named)
+            if (k := self.rows.get(look)) is None:
+                k = self.rows[look] = len(self.rows)
+                made.append(([self._sum(look[0]), *(self._sum([f"{place}:{look[1]}"]) for place in ("p1", "p2", "n1"))], named))
+            ids[token] = k
+        if made:
+            self.parts = np.concatenate([self.parts, np.array([x for x, _ in made])])
+            self.named = np.concatenate([self.named, np.array([x for _, x in made])])
+        return np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
+
+    def emissions(self, tokens: list[str], file: tuple[float, float, float]) -> np.ndarray:
+        at = self._numbered(tokens)
+        e = self.parts[at, 0] + np.array(file)
+        edge = [np.array(self._sum([f"{place}:edge"])) for place in ("p1", "p2", "n1")]
+        e[1:] += self.parts[at[:-1], 1]
+        e[2:] += self.parts[at[:-2], 2]
+        e[:-1] += self.parts[at[1:], 3]
+        e[:1] += edge[0]
+        e[:2] += edge[1]
+        e[-1:] += edge[2]
+        e[sorted(set(cues(tokens, np.flatnonzero(self.named[at]).tolist())))] += np.array(self._sum(["cue:yes"]))
+        return e
+
+    def viterbi(self, e: list[list[float]], first: bool = True, last: bool = True) -> list[int]:
+        """The best tags of a run of tokens; outside ones stand before and after it unless it is first or last."""
+        t, back = self.transitions, []
+        score = [e[0][O], e[0][B], NEVER] if first else [t[O][y] + e[0][y] for y in (O, B, I)]
+        for row in e[1:]:
+            best = tuple(max((O, B, I), key=lambda p, y=y: score[p] + t[p][y]) for y in (O, B, I))
+            score = [score[best[y]] + t[best[y]][y] + row[y] for y in (O, B, I)]
             back.append(best)
-        if score is None:
-            return []
-        tags = [max((O, B, I), key=lambda y: score[y])]
-        for best in reversed(back[1:]):
+        tags = [max((O, B, I), key=lambda y: score[y] + (0 if last else t[y][O]))]
+        for best in reversed(back):
             tags.append(best[tags[-1]])
         return tags[::-1]
 
+    def tags(self, tokens: list[str], file: tuple[float, float, float]) -> dict[int, int]:
+        """The tags other than outside of the whole sequence's best path, by place.
+
+        A secret at i..j changes the score of the path without it by starts[i] + sum(goes[i+1..j]) +
+        ends[j] at most. Tokens for which no i and j give that 0 or more are outside on the best path
+        and part the sequence.
+        """
+        if not tokens:
+            return {}
+        e, t = self.emissions(tokens, file), self.transitions
+        starts = e[:, B] - e[:, O] + (t[O][B] - t[O][O])
+        starts[0] = e[0, B] - e[0, O]
+        goes = np.maximum(e[:, B] + max(t[B][B], t[I][B]), e[:, I] + max(t[B][I], t[I][I])) - e[:, O] - t[O][O]
+        ends = np.full(len(e), max(t[B][O], t[I][O]) - t[O][O])
+        ends[-1] = 0
+        sums = np.cumsum(goes)
+        most = np.maximum.accumulate(starts - sums) + np.maximum.accumulate((sums + ends)[::-1])[::-1]
+        live = np.flatnonzero(most >= -1e-6)
+        found = {}
+        for run in np.split(live, np.flatnonzero(np.diff(live) > 1) + 1) if len(live) else []:
+            a, b = int(run[0]), int(run[-1]) + 1
+            best = self.viterbi(e[a:b].tolist(), a == 0, b == len(e))
+            found |= {a + k: y for k, y in enumerate(best) if y != O}
+        return found
+
     def spans(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of the secrets of a text."""
         if not self.weights:
             return []
-        out, file = [], self._sum(file_features(text))
-        for a, b in regions(text):
-            places = list(TOKEN.finditer(text, a, b))
-            for m, tag in zip(places, self.decode([m.group() for m in places], file), strict=True):
-                if tag == B:
-                    out.append([m.start(), m.end()])
-                elif tag == I and out:
-                    out[-1][1] = m.end()
+        out, tags = [], self.tags(TOKEN.findall(text), self._sum(file_features(text)))
+        for k, m in enumerate(TOKEN.finditer(text)) if tags else ():
+            if (tag := tags.get(k, O)) == B:
+                out.append([m.start(), m.end()])
+            elif tag == I and out:
+                out[-1][1] = m.end()
         return [(a, b) for a, b in out]
 
 
-def token_features(tokens: list[str], file: list[str]) -> list[list[str]]:
-    padded = [None, None, *tokens, None]
-    return [[*shape_features(tokens[k]), f"p1:{word_feature(padded[k + 1])}", f"p2:{word_feature(padded[k])}", f"n1:{word_feature(padded[k + 3])}", *file] for k in range(len(tokens))]
+def token_features(tokens: list[str], file: list[str], cued: Iterable[int] | None = None) -> list[list[str]]:
+    padded, cued = [None, None, *tokens, None], set(cues(tokens) if cued is None else cued)
+    return [[*shape_features(tokens[k]), f"p1:{word_feature(padded[k + 1])}", f"p2:{word_feature(padded[k])}", f"n1:{word_feature(padded[k + 3])}", *file, *["cue:yes"] * (k in cued)] for k in range(len(tokens))]
 
 
 def fit_field(sequences: list[tuple[list[str], list[int], list[str]]], steps: int = 80, ridge: float = 1e-5, rate: float = 0.3, seed: int = 3) -> Field:
@@ -194,6 +265,25 @@ def fit_field(sequences: list[tuple[list[str], list[int], list[str]]], steps: in
     for tokens, tags, file in [*sequences, *made]:
         hidden = ["word" if t.lower() in KEY_WORDS and rng.random() < 0.5 else t for t in tokens]
         rows.append((token_features(hidden, file), tags))
+    # values of names may be letters only, behind any sign, and the name's last part any word
+    for tokens, tags, file in sequences:
+        cued = [k for k in sorted(set(cues(tokens))) if tags[k] == B]
+        plain, marks, at = [], [], []
+        for k, (token, y) in enumerate(zip(tokens, tags, strict=True)):
+            if k in cued:
+                while plain and plain[-1] in ":=\"'`":
+                    del plain[-1], marks[-1]
+                if rng.random() < 0.5:
+                    plain[-1] = "word"
+                sign = [rng.choice(":="), *rng.choice(["", "", '"', "'"])]
+                at.append(len(plain) + len(sign))
+                plain += [*sign, "".join(rng.choices(letters[:26], k=rng.randint(6, 19)))]
+                marks += [O] * len(sign) + [B]
+            elif y != I:
+                plain.append(token)
+                marks.append(y)
+        if cued:
+            rows.append((token_features(plain, file, at), marks))
     if not any(B in tags for _, tags in rows):
         return Field({}, [[0.0] * 3 for _ in range(3)])
     names = {n: k for k, n in enumerate(sorted({f for features, _ in rows for t in features for f in t}))}
@@ -240,7 +330,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     kind = pa.list_(pa.struct([("tokens", pa.list_(pa.string())), ("tags", pa.list_(pa.int32()))]))
     mark = F.arrow_udf(lambda c: pa.array([[{"tokens": a, "tags": b} for a, b in tagged(x.as_py() or "")][:40] for x in c], kind), "array<struct<tokens:array<string>,tags:array<int>>>")
     of_file = F.arrow_udf(lambda c: pa.array([file_features(x.as_py() or "") for x in c], pa.list_(pa.string())), "array<string>")
-    some = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", mark("text").alias("regions"), of_file("text").alias("file")).where(F.size("regions") > 0)
+    some = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", mark("text").alias("regions"), of_file("text").alias("file"))  # a filter on regions would be run below the join, on all documents
     rows = sorted(some.collect(), key=lambda r: r.doc_id)
     return fit_field([(list(x.tokens), list(x.tags), list(r.file)) for r in rows for x in r.regions if x.tokens])
 
