@@ -4,7 +4,9 @@ Detected entities (e-mail and IP addresses, phone, card and social security numb
 titled names) are replaced by others of their kind. A surrogate depends on a key, the kind and the
 normalised value alone, so one entity has one surrogate in all documents and spellings. Digits become
 digits, letters become letters of the same case and script, separators stay; addresses keep their
-shape; a title keeps the gender of the given name that follows it. A dictionary of all different
+shape; a title keeps the gender of the given name that follows it; a phone number keeps its country
+code, which is read from its digits and so is the same in all spellings. Later attempts widen what a
+format leaves too few values for: names grow by letters, country codes are let go. A dictionary of all different
 entities is checked: entities whose surrogate another entity shares, or that is itself an entity of
 the corpus, are keyed anew until none is left.
 
@@ -32,6 +34,10 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Given names by gender.
 GIVEN = {"f": ["Anna", "Clara", "Elena", "Julia", "Laura", "Maria", "Nora", "Paula", "Sofia", "Vera"], "m": ["Adam", "Boris", "David", "Erik", "Felix", "Hugo", "Leon", "Martin", "Oscar", "Viktor"]}
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Señora|Sra)"
+#: The calling codes of one and two digits; the others have three. Separators may stand between.
+CODE = r"^\+(?:[17]|2\D*[07]|3\D*[0-469]|4\D*[013-9]|5\D*[1-8]|6\D*[0-6]|8\D*[1246]|9\D*[0-58]|\d\D*\d\D*\d)"
+#: From this attempt on, a phone number's country code is exchanged too.
+FREE_CODE = 10
 HEX = "0123456789abcdef"
 ALPHABETS = {"[a-z]": "bcdfghjklmnprstv", "[A-Z]": "BCDFGHJKLMNPRSTV", "[а-я]": "бвгдежзиклмнопрс", "[А-Я]": "БВГДЕЖЗИКЛМНОПРС", "[α-ω]": "αβγδεζηθικλμνξοπ", "[Α-Ω]": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠ", r"\p{Ll}": "bcdfghjklmnprstv", r"\p{Lu}": "BCDFGHJKLMNPRSTV"}
 MAX_ROUNDS = 20
@@ -48,7 +54,7 @@ def kind_of(value: Column) -> Column:
 def normalised(value: Column, kind: Column) -> Column:
     """What spellings of one entity have in common."""
     bare = F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}]", "")
-    return F.when(kind == "email", F.lower(value)).when(kind.isin("ip", "name"), value).otherwise(bare)
+    return F.when(kind == "email", F.lower(value)).when(kind.isin("ip", "name"), value).when(kind == "phone", F.concat(F.regexp_extract(value, r"^\+?", 0), bare)).otherwise(bare)
 
 
 def _shaped(value: Column, digest: Column) -> Column:
@@ -66,6 +72,17 @@ def _shaped(value: Column, digest: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
 
 
+def _longer(name: Column, digest: Column, attempt: Column) -> Column:
+    """A letter more for every two attempts, in the script of the name's last one."""
+    last, part = F.substr(name, F.length(name)), F.substr(digest, F.lit(20), F.floor(attempt / 2).cast("int"))
+    more = None
+    for letters, alphabet in ALPHABETS.items():
+        if alphabet == alphabet.lower():
+            new = F.translate(part, HEX, alphabet)
+            more = F.when(last.rlike(letters), new) if more is None else more.when(last.rlike(letters), new)
+    return F.concat(_shaped(name, digest), F.when(attempt > 1, more).otherwise(""))
+
+
 def surrogate(value: Column, kind: Column, key: str, attempt: Column) -> Column:
     """The replacement of an entity; attempt tells tries apart."""
     digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, normalised(value, kind), attempt.cast("string")), 256)
@@ -76,10 +93,10 @@ def surrogate(value: Column, kind: Column, key: str, attempt: Column) -> Column:
     given = F.element_at(F.when(value.rlike(FEMALE), F.array(*map(F.lit, GIVEN["f"]))).otherwise(F.array(*map(F.lit, GIVEN["m"]))), pick)
     title, family = F.substring_index(value, " ", 1), F.regexp_extract(value, r"^\S+ \S+ (\S+)$", 1)
     only = F.regexp_extract(value, r"^\S+ (\S+)$", 1)
-    name = F.when(family != "", F.concat_ws(" ", title, given, _shaped(family, digest))).otherwise(F.concat_ws(" ", title, _shaped(only, digest)))
+    name = F.when(family != "", F.concat_ws(" ", title, given, _longer(family, digest, attempt))).otherwise(F.concat_ws(" ", title, _longer(only, digest, attempt)))
     # country and check digits of an account keep their place, a phone number its country code
     account = F.concat(F.substr(value, F.lit(1), F.lit(2)), F.substr(_shaped(value, digest), F.lit(3), F.length(value)))
-    code = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .\-(])", 0)
+    code = F.when(attempt < FREE_CODE, F.regexp_extract(value, CODE, 0)).otherwise("")
     phone = F.concat(code, F.substr(_shaped(value, digest), F.length(code) + 1, F.length(value)))
     return F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", *[octet(i) for i in range(4)])).when(kind == "name", name).when(kind == "iban", account).when(kind == "phone", phone).otherwise(_shaped(value, digest))
 

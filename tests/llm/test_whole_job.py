@@ -2,11 +2,11 @@
 
 import hashlib
 import random
+import re
 
 import pytest
-from pyspark.sql import functions as F
 
-from echolark.llm import secret_scan
+from echolark.llm import pii_surrogates, secret_scan
 
 
 @pytest.fixture(scope="module")
@@ -39,3 +39,19 @@ def test_pruned_decoding_is_that_of_the_whole_text(field):
 def test_prose_has_no_secrets(field):
     text = "the secret of life is a token of love, she said: hello. The key thing = nothing; a private matter"
     assert secret_scan.scan(text, field) == []
+
+
+def test_a_phone_has_one_surrogate_in_all_spellings(spark):
+    spellings = ["+49 15112345678", "+4915112345678", "+49-1511-234-5678", "+4 915112345678", "+49 (151) 1234 5678"]
+    rows = spark.createDataFrame(list(enumerate(spellings)), "doc_id long, text string")
+    out = [r.text for r in pii_surrogates.with_surrogates(rows, "k").orderBy("doc_id").collect()]
+    digits = {re.sub(r"\D", "", x) for x in out}
+    assert len(digits) == 1 and digits.pop().startswith("49") and not set(out) & set(spellings)
+    assert [re.sub(r"\d", "0", x) for x in out] == [re.sub(r"\d", "0", x) for x in spellings]
+
+
+def test_short_names_never_run_out(spark):
+    names = [f"Mr {a}{b}" for a in "ABCDEFGHIJKLMNOPQRST" for b in "abcdefghijklmnopqrst"]
+    rows = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")
+    out = [r.text for r in pii_surrogates.with_surrogates(rows, "k").collect()]
+    assert len(set(out)) == len(names) and not set(out) & set(names) and all(re.fullmatch(r"Mr [A-Z][a-z]+", x) for x in out)
