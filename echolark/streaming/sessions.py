@@ -1,11 +1,12 @@
-"""Live frame sessions: stateful limits, deduplication, windows and event sinks."""
+"""Frame sessions: limits, windows and summaries in batch, and deduplication of a stream."""
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,27 +16,32 @@ from echolark.plans.domain import FRAMES_SQL, frames
 LIMIT, WINDOW_S = 20, 86_400
 
 
-def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sliding log per user: an event passes if fewer than LIMIT passed in the last WINDOW_S seconds.
-
-    Whether one passes depends on earlier passes, so each user's events are read in order with the
-    log of passes as state.
-    """
-    e = read_table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-
-    def judge(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["t", "event_id"])
-        log: list[int] = []
+def judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """user_id, event_id and whether each event passes, of batches in order of user and time; at most
+    LIMIT passes of the user at hand are kept, over batches of any number."""
+    user, log = object(), deque()
+    for b in batches:
         passed = []
-        for t in g.t:
-            while log and log[0] <= t - WINDOW_S * 1_000_000:
-                log.pop(0)
+        for u, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+            if u != user:
+                user, log = u, deque()
+            while t is not None and log and log[0] <= t - WINDOW_S * 1_000_000:
+                log.popleft()
             passed.append(len(log) < LIMIT)
             if passed[-1]:
                 log.append(t)
-        return pd.DataFrame({"user_id": g.user_id, "event_id": g.event_id, "allowed": passed})
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(passed, pa.bool_())], names=["user_id", "event_id", "allowed"])
 
-    return e.groupBy("user_id").applyInPandas(judge, "user_id long, event_id long, allowed boolean")
+
+def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sliding log per user: an event passes if fewer than LIMIT passed in the last WINDOW_S seconds.
+
+    Whether one passes depends on earlier passes, so each user's events are read in order, in batches,
+    with the log of passes as state; events without a time come last.
+    """
+    e = read_table(spark, sf_dir, "events").select(F.col("user_id").cast("long"), F.col("event_id").cast("long"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    e = e.repartition("user_id").sortWithinPartitions("user_id", F.asc_nulls_last("t"), F.asc_nulls_last("event_id"))
+    return e.mapInArrow(judged, "user_id long, event_id long, allowed boolean")
 
 
 def session_summary(f: DataFrame) -> DataFrame:
