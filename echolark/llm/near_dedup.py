@@ -1,10 +1,10 @@
 r"""Near-duplicate classes by a signature-coordinate inverted join.
 
 A document's MinHash signature has COORDINATES values. Documents are posted under each pair of
-coordinate and value; two linked documents share at least MATCHES pairs (the chance that a pair at
-the threshold shares fewer is below 1e-6). Two steps keep lists short without losing a candidate:
+coordinate and value; two linked documents share at least matches(percent) pairs (the chance that a
+pair at the threshold shares fewer is below 1e-6: 3.7e-7 for 27 at 0.85, 7.8e-7 for 24 at 0.80). Two steps keep lists short without losing a candidate:
 - Prefix: with each document's pairs ordered by list length, rarest first, documents that share
-  MATCHES of them share one of their first COORDINATES - MATCHES + 1. Only these lists are merged;
+  M of them share one of their first COORDINATES - M + 1. Only these lists are merged;
   pairs that no other document has are counted into the prefix and dropped.
 - Skip: the longer lists beyond the prefix are never merged; for candidates their collisions are
   counted by intersecting the two signatures.
@@ -23,6 +23,8 @@ empty result.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,13 +34,22 @@ from echolark.core import small_batches, staged
 from echolark.llm.components import components
 from echolark.llm.textbytes import LOWER, Texts, mix, run_hashes, texts_of, windows, words_of
 
-COORDINATES, MATCHES = 48, 27
-PREFIX = COORDINATES - MATCHES + 1
+COORDINATES, MISSED = 48, 1e-6
 BLOCK_ROWS = 512
 _seeds = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _FACTORS, _SHIFTS = _seeds[:COORDINATES] | np.uint64(1), _seeds[COORDINATES:]
 
 
+def matches(percent: int) -> int:
+    """The most coordinates of which a pair at the threshold shares fewer with a chance below MISSED."""
+    p, tail = percent / 100, 0.0
+    for m in range(COORDINATES):
+        tail += comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if tail >= MISSED:
+            return max(1, m)
+    return COORDINATES
+
+
 def shingle_sets(t: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of the distinct shingles of each document, ordered by both."""
     low = Texts(LOWER[t.data], t.offsets)
@@ -115,13 +126,13 @@ def with_signatures(df: DataFrame, width: int, text: str = "text") -> DataFrame:
     return staged(own.withColumns({"_n": F.col("_s.n"), "_k1": F.col("_s.k1"), "_k2": F.col("_s.k2"), "_sig": F.col("_s.sig")}).drop("_s"))
 
 
-def prefix_postings(nodes: DataFrame) -> DataFrame:
+def prefix_postings(nodes: DataFrame, percent: int) -> DataFrame:
     """(key, node, score): each node under the pairs of its prefix that others have too."""
     posted = nodes.select("node", F.explode("sig").alias("key"))
     lengths = staged(posted.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1"))
     shared = posted.join(lengths, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("held"))
     # singles come first in the order, so the prefix reaches that much less far into the shared ones
-    reach = F.size("held") - (COORDINATES - PREFIX)
+    reach = F.size("held") - (matches(percent) - 1)
     score = F.aggregate("held", F.lit(0).cast("long"), lambda s, h: s + h.f)
     cut = shared.where(reach > 0).select("node", score.alias("score"), F.explode(F.slice("held", F.lit(1), reach)).alias("h"))
     return staged(cut.select(F.col("h.key").alias("key"), "node", "score"))
@@ -167,7 +178,7 @@ def differences(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 def residual_pairs(postings: DataFrame, leaders: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Candidates between different components of one list: members outside the leader's component
-    against all, in blocks of about BLOCK_ROWS, where the signatures share MATCHES pairs and a bound
+    against all, in blocks of about BLOCK_ROWS, where the signatures share matches(percent) pairs and a bound
     allows a link: two sets share at most what the smaller shares with the leader, and what both have
     beyond the leader. The bound is exact for what differs, so copies of one text with changes of their
     own are told apart without a test of each pair."""
@@ -187,7 +198,7 @@ def residual_pairs(postings: DataFrame, leaders: DataFrame, labels: DataFrame, n
     right = members.where("outside").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *side("b"))
     most = F.least("inside_a", "inside_b") + F.size(F.array_intersect("own_a", "own_b"))
     sizes = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-    alike = F.size(F.array_intersect("sig_a", "sig_b")) >= MATCHES
+    alike = F.size(F.array_intersect("sig_a", "sig_b")) >= matches(percent)
     possible = F.lit(100) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - most)
     once = ~F.col("outside_a") | (F.col("node_a") < F.col("node_b"))
     met = left.join(right, ["key", "block"]).where((F.col("label_a") != F.col("label_b")) & once & sizes & possible & alike)
@@ -199,7 +210,7 @@ def near_classes(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     full = rows.where("_n > 0")
     nodes = full.groupBy("_k1", "_k2").agg(F.min("_row").alias("node"), F.min(doc_id).alias("least"), F.first("_sig").alias("sig"), F.first("_n").alias("n"))
     nodes = staged(nodes)
-    postings = prefix_postings(nodes)
+    postings = prefix_postings(nodes, percent)
     leaders = postings.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("top"), F.count(F.lit(1)).alias("size"))
     leaders = staged(leaders.where("size > 1").select("key", (-F.col("top.minus")).alias("leader")))
     stars = postings.join(leaders, "key").where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()

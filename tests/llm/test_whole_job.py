@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from echolark.llm import pii_surrogates, secret_scan
+from echolark.llm import near_dedup, pii_surrogates, secret_scan
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +55,7 @@ def test_short_names_never_run_out(spark):
     rows = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")
     out = [r.text for r in pii_surrogates.with_surrogates(rows, "k").collect()]
     assert len(set(out)) == len(names) and not set(out) & set(names) and all(re.fullmatch(r"Mr [A-Z][a-z]+", x) for x in out)
+
+
+def test_matches_follow_the_threshold():
+    assert [near_dedup.matches(p) for p in (85, 80, 100, 1)] == [27, 24, 48, 1]
