@@ -8,10 +8,12 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-_held: ContextVar[list[str] | None] = ContextVar("held", default=None)
+#: Lists of staged tables, the innermost holder last.
+_held: ContextVar[tuple[list[str], ...]] = ContextVar("held", default=())
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,19 +22,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is set (tests)."""
+    """The cluster's shared checkpoint folder. Where none is set, a local session (tests) gets a
+    folder of its own; on a cluster a machine's own folder would lose data, so that is an error."""
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_DIR} names no shared folder")
         folder = tempfile.mkdtemp(prefix="echolark-")
         spark.conf.set(CHECKPOINT_DIR, folder)
     return folder
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts lineage and survives lost executors."""
+def staged(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write `df` once to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Inside scratch() the table goes when the block ends; with `keep` it stays for the block around it.
+    """
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    if (held := _held.get()) is not None:
-        held.append(path)
+    holders = _held.get()
+    if keep:
+        holders = holders[:-1]
+    if holders:
+        holders[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -40,13 +52,24 @@ def staged(df: DataFrame) -> DataFrame:
 @contextmanager
 def holding(paths: list[str]) -> Iterator[None]:
     """Notes in `paths` what staged() writes meanwhile."""
-    token = _held.set(paths)
+    token = _held.set((*_held.get(), paths))
     try:
         yield
     finally:
         _held.reset(token)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what staged() wrote meanwhile and was not told to keep."""
+    paths: list[str] = []
+    try:
+        with holding(paths):
+            yield
+    finally:
+        release(spark, paths)
+
+
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Deletes staged tables that nothing reads any more."""
     while paths:
@@ -55,5 +78,16 @@ def release(spark: SparkSession, paths: list[str]) -> None:
 
 
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Bounds the Arrow batches of long texts, so that Python workers stay small."""
+    """Bounds the Arrow batches of long texts, so that Python workers stay small. The setting stays, as
+    plans are run after the call; an operator that needs other batches sets its own."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def own_columns(df: DataFrame, name: str = "doc") -> Column:
+    """All columns of df as one struct, where working columns cannot clash with them."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns]).alias(name)
+
+
+def field(struct: str, name: str) -> str:
+    """The column reference of a field of a struct."""
+    return f"{struct}.`{name}`"
