@@ -8,17 +8,19 @@ pair at the threshold shares fewer is below 1e-6: 3.7e-7 for 27 at 0.85, 7.8e-7
   pairs that no other document has are counted into the prefix and dropped.
 - Skip: the longer lists beyond the prefix are never merged; for candidates their collisions are
   counted by intersecting the two signatures.
-Equal shingle sets are one class before anything is posted. In each list documents first meet only
-its most central member (of the longest lists overall); confirmed links make components. Lists that
-then hold more than one component have their members outside the leader's component compared with
-all members, in blocks and under an exact bound; pairs inside a component need no test, so no link
-between components is lost.
-Every candidate is confirmed on full shingle sets.
+Equal shingle sets are one class before anything is posted; they are told apart by their size and two
+keyed 64-bit sums over all their shingles. In each list documents first meet only its most central
+member (of the longest lists overall); pairs of enough collisions that are confirmed on full sets make
+components. Lists that then hold more than one component have pairs across components found by a
+second inverted join, on what each document has or lacks against that member (see residual_pairs),
+which keeps every link and does not meet copies that each differ in a way of their own. Pairs inside
+a component need no test. Every link is confirmed on the full shingle sets.
 
 Defined cases: null, empty or all-space texts have an empty set and are linked with nothing; texts
-of fewer words than a shingle are one shingle; rows that repeat a doc_id are the same document to a
-reader of component_id; other columns pass through `drop_near_copies`; an empty table gives an
-empty result.
+of fewer words than a shingle are one shingle; texts of any length have all their shingles read;
+null ids count as greater than all others; rows that repeat a doc_id are told apart by their place
+where one document of a class stays, while component_id and kept of the query speak of ids; other
+columns, whatever their names, pass through `drop_near_copies`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,15 +29,15 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolark.core import small_batches, staged
+from echolark.core import field, own_columns, scratch, small_batches, staged
 from echolark.llm.components import components
 from echolark.llm.textbytes import LOWER, Texts, mix, run_hashes, texts_of, windows, words_of
 
 COORDINATES, MISSED = 48, 1e-6
-BLOCK_ROWS = 512
+PAIRS_AT_ONCE = 64
 _seeds = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _FACTORS, _SHIFTS = _seeds[:COORDINATES] | np.uint64(1), _seeds[COORDINATES:]
 
@@ -95,35 +97,53 @@ def signatures(column: pa.Array, width: int) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(glued(sizes, np.int64).astype(np.int64)), pa.array(glued(keys1, np.int64)), pa.array(glued(keys2, np.int64)), lists], names=["n", "k1", "k2", "sig"])
 
 
+def _merged(left: pa.Array, right: pa.Array, width: int) -> tuple[np.ndarray, ...]:
+    """(pair, key, side, both) of the shingle sets of each pair of texts, ordered by pair and key."""
+    parts = []
+    for side, column in enumerate((left, right)):
+        base = 0
+        for t in texts_of(column):
+            doc, key = shingle_sets(t, width)
+            parts.append((doc + base, key, np.full(len(key), side, np.int8)))
+            base += len(t)
+    pair, key, side = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((side, key, pair))
+    pair, key, side = pair[order], key[order], side[order]
+    same = (pair[1:] == pair[:-1]) & (key[1:] == key[:-1])
+    both = np.zeros(len(key), bool)
+    both[1:] |= same
+    both[:-1] |= same
+    return pair, key, side, both
+
+
 def overlap_of(left: pa.Array, right: pa.Array, width: int) -> np.ndarray:
     """(intersection, union) sizes of the shingle sets of each pair of texts."""
-    out, step = [np.zeros((0, 2), np.int64)], 64
-    for start in range(0, len(left), step):
-        a, b = left.slice(start, step), right.slice(start, step)
-        sides = []
-        for side in (a, b):
-            base, docs, keys = 0, [], []
-            for t in texts_of(side):
-                doc, key = shingle_sets(t, width)
-                docs.append(doc + base)
-                keys.append(key)
-                base += len(t)
-            sides.append((np.concatenate(docs), np.concatenate(keys)))
-        n = len(a)
-        doc, key = np.concatenate([sides[0][0], sides[1][0]]), np.concatenate([sides[0][1], sides[1][1]])
-        order = np.lexsort((key, doc))
-        doc, key = doc[order], key[order]
-        both = np.bincount(doc[1:][(doc[1:] == doc[:-1]) & (key[1:] == key[:-1])], minlength=n)
-        out.append(np.stack([both, np.bincount(doc, minlength=n) - both], axis=1))
+    out = [np.zeros((0, 2), np.int64)]
+    for start in range(0, len(left), PAIRS_AT_ONCE):
+        a, b = left.slice(start, PAIRS_AT_ONCE), right.slice(start, PAIRS_AT_ONCE)
+        pair, _, side, both = _merged(a, b, width)
+        shared = np.bincount(pair[both & (side == 0)], minlength=len(a))
+        out.append(np.stack([shared, np.bincount(pair, minlength=len(a)) - shared], axis=1))
     return np.concatenate(out)
 
 
+def difference_of(left: pa.Array, right: pa.Array, width: int) -> pa.Array:
+    """The shingles that only one text of each pair has."""
+    keys, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for start in range(0, len(left), PAIRS_AT_ONCE):
+        a, b = left.slice(start, PAIRS_AT_ONCE), right.slice(start, PAIRS_AT_ONCE)
+        pair, key, _, both = _merged(a, b, width)
+        keys.append(key[~both])
+        sizes.append(np.bincount(pair[~both], minlength=len(a)))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)))
+
+
 def with_signatures(df: DataFrame, width: int, text: str = "text") -> DataFrame:
-    """df, staged, with a row number and the signature columns."""
+    """df's columns as the struct doc, staged with a row number and the signature columns."""
     small_batches(df.sparkSession)
     sign = F.arrow_udf(lambda x: signatures(x, width), "struct<n:bigint,k1:bigint,k2:bigint,sig:array<bigint>>")
-    own = df.withColumns({"_row": F.monotonically_increasing_id(), "_s": sign(F.col(text))})
-    return staged(own.withColumns({"_n": F.col("_s.n"), "_k1": F.col("_s.k1"), "_k2": F.col("_s.k2"), "_sig": F.col("_s.sig")}).drop("_s"))
+    own = df.select(own_columns(df), F.monotonically_increasing_id().alias("row"), sign(F.col(f"`{text}`")).alias("s"))
+    return staged(own.select("doc", "row", "s.*"))
 
 
 def prefix_postings(nodes: DataFrame, percent: int) -> DataFrame:
@@ -138,6 +158,12 @@ def prefix_postings(nodes: DataFrame, percent: int) -> DataFrame:
     return staged(cut.select(F.col("h.key").alias("key"), "node", "score"))
 
 
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b) with both texts; a, which may be a hub, is joined last, so that its text moves once."""
+    side = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a")
+
+
 def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
 
@@ -145,97 +171,116 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
         found = overlap_of(left, right, width)
         return pa.array(100 * found[:, 0] >= percent * found[:, 1])
 
-    side = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return staged(joined.where(F.arrow_udf(test, "boolean")("text_a", "text_b")).select("a", "b"))
-
-
-def differences(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(leader, node, own): the shingles of a node that its leader lacks."""
-
-    def lacking(leader: pa.Array, node: pa.Array) -> pa.Array:
-        keys, sizes, step = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 64
-        for start in range(0, len(node), step):
-            sides = []
-            for side in (leader.slice(start, step), node.slice(start, step)):
-                base, docs, held = 0, [], []
-                for t in texts_of(side):
-                    doc, key = shingle_sets(t, width)
-                    docs.append(doc + base)
-                    held.append(key)
-                    base += len(t)
-                sides.append((np.concatenate(docs), np.concatenate(held)))
-            mark = lambda side: mix(sides[side][1] ^ mix(sides[side][0].astype(np.uint64)))
-            own = ~np.isin(mark(1), mark(0))
-            keys.append(sides[1][1][own])
-            sizes.append(np.bincount(sides[1][0][own], minlength=min(step, len(node) - start)))
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)))
-
-    side = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
-    joined = pairs.join(side("leader"), "leader").join(side("node"), "node")
-    return staged(joined.select("leader", "node", F.arrow_udf(lacking, "array<bigint>")("text_leader", "text_node").alias("own")))
-
-
-def residual_pairs(postings: DataFrame, leaders: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Candidates between different components of one list: members outside the leader's component
-    against all, in blocks of about BLOCK_ROWS, where the signatures share matches(percent) pairs and a bound
-    allows a link: two sets share at most what the smaller shares with the leader, and what both have
-    beyond the leader. The bound is exact for what differs, so copies of one text with changes of their
-    own are told apart without a test of each pair."""
+    return staged(_with_texts(pairs.select("a", "b"), texts).where(F.arrow_udf(test, "boolean")("text_a", "text_b")).select("a", "b"))
+
+
+def with_collisions(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pairs (a, b) with the number of coordinates in which their signatures agree."""
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("sig").alias(f"sig_{k}"))
+    joined = pairs.join(side("b"), "b").join(side("a"), "a")
+    return joined.withColumn("hits", F.size(F.array_intersect("sig_a", "sig_b"))).drop("sig_a", "sig_b")
+
+
+def _met_by_prefix(members: DataFrame) -> DataFrame:
+    """(a, b) of members (list, form, node, label, tags, first, second, need, need_second): pairs with
+    different labels, one of them `second`, that share `need` of the tags of each at least.
+
+    Tags that do not occur under two labels, or under no `second`, cannot be shared by such a pair and
+    go; of the rest, rarest first, the pair shares one within the first (count - need + 1) of both."""
+    at = ["list", "form"]
+    tagged = members.select(*at, "node", "label", "second", F.explode("tags").alias("tag"))
+    spread = tagged.groupBy(*at, "tag").agg(F.count(F.lit(1)).alias("f"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("second").alias("any"))
+    spread = staged(spread.where("l0 != l1 and any").select(*at, "tag", "f"))
+    held = tagged.join(spread, [*at, "tag"]).groupBy(*at, "node").agg(F.sort_array(F.collect_list(F.struct("f", "tag"))).alias("held"))
+    held = staged(held.join(members.drop("tags"), [*at, "node"]))
+    reach = lambda need: F.size("held") - F.col(need) + 1
+    post = lambda need: F.explode(F.slice("held", F.lit(1), reach(need)))
+    a = held.where(reach("need") > 0).select(*at, F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("second").alias("both"), post("need").alias("h"))
+    b = held.where(F.col("second") & (reach("need_second") > 0)).select(*at, F.col("node").alias("b"), F.col("label").alias("label_b"), post("need_second").alias("h"))
+    a, b = (staged(x.withColumn("tag", F.col("h.tag")).drop("h")) for x in (a, b))
+    return a.join(b, [*at, "tag"]).where((F.col("label_a") != F.col("label_b")) & (~F.col("both") | (F.col("a") < F.col("b")))).select("a", "b").distinct()
+
+
+def residual_pairs(stars: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Candidates (a, b) between different components among the documents that met one leader.
+
+    Let D(x) be the shingles that only one of x and its leader L has. Then |a - b| + |b - a| =
+    |D(a)| + |D(b)| - 2 |D(a) & D(b)|, and a link allows t (n_a + n_b) of it, t = (100 - p) / (100 + p).
+    If b is not linked with L, D(b) has over t (n_b + n_L), so a link of a and b needs
+      |D(a) & D(b)| > (|D(a)| - t (n_a - n_L)) / 2   and   |D(a) & D(b)| >= (|D(b)| - t (n_b + n_L)) / (1 + t).
+    What copies changed each for itself, only one of them has, so that few are left to meet. Documents
+    of few collisions with L (unlike it) meet the others under coordinates instead, of which linked
+    ones share matches(percent)."""
     of = labels.select("node", "label")
-    placed = postings.join(of, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    placed = staged(placed)
-    mixed = placed.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("size")).where("l0 != l1")
-    first = leaders.join(of.withColumnRenamed("node", "leader"), "leader", "left").select("key", "leader", F.coalesce("label", "leader").alias("main"))
-    lists = staged(mixed.join(first, "key").select("key", "size", "main", "leader"))
-    members = staged(placed.join(lists, "key").join(nodes.select("node", "sig", "n"), "node"))
-    beyond = differences(members.where("node != leader").select("leader", "node").distinct(), texts, width)
-    members = members.join(beyond, ["leader", "node"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<bigint>")))
-    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    members = staged(members.withColumns({"outside": F.col("label") != F.col("main"), "blocks": blocks, "inside": F.col("n") - F.size("own")}))
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "sig", "n", "own", "inside", "outside")]
-    left = members.select("key", F.pmod(F.hash("node"), "blocks").alias("block"), *side("a"))
-    right = members.where("outside").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *side("b"))
-    most = F.least("inside_a", "inside_b") + F.size(F.array_intersect("own_a", "own_b"))
-    sizes = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-    alike = F.size(F.array_intersect("sig_a", "sig_b")) >= matches(percent)
-    possible = F.lit(100) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - most)
-    once = ~F.col("outside_a") | (F.col("node_a") < F.col("node_b"))
-    met = left.join(right, ["key", "block"]).where((F.col("label_a") != F.col("label_b")) & once & sizes & possible & alike)
-    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    own = stars.select(F.col("a").alias("list")).distinct()
+    met = stars.select(F.col("a").alias("list"), F.col("b").alias("node"), "hits").union(own.select("list", F.col("list").alias("node"), F.lit(COORDINATES)))
+    main = own.join(of.withColumnRenamed("node", "list"), "list", "left").select("list", F.coalesce("label", "list").alias("main"))
+    placed = staged(met.join(of, "node", "left").withColumn("label", F.coalesce("label", "node")).join(main, "list").withColumn("outside", F.col("label") != F.col("main")))
+    mixed = staged(placed.where("outside").groupBy("list").agg(F.count(F.lit(1)).alias("strangers")))
+    size = nodes.select(F.col("node").alias("list"), F.col("n").alias("n_list"))
+    members = staged(placed.join(mixed, "list").join(size, "list").join(nodes.select("node", "n", "sig"), "node"))
+    near = F.col("hits") >= COORDINATES // 3
+    differ = F.arrow_udf(lambda a, b: difference_of(a, b, width), "array<bigint>")
+    pairs = members.where(near & (F.col("node") != F.col("list"))).select(F.col("list").alias("a"), F.col("node").alias("b"))
+    beyond = _with_texts(pairs, texts).select(F.col("a").alias("list"), F.col("b").alias("node"), differ("text_a", "text_b").alias("tags"))
+    d, p = F.size("tags"), percent
+    close = staged(members.where(near).join(beyond, ["list", "node"]).withColumn("over", (100 + p) * d - (100 - p) * (F.col("n") + F.col("n_list"))))
+    common = ["node", "label", "tags", "second", "need", "need_second"]
+    by_difference = close.select(
+        "list", F.lit("difference").alias("form"), "node", "label", "tags", (F.col("outside") & (F.col("over") > 0)).alias("second"),
+        (F.floor(((100 + p) * d - (100 - p) * (F.col("n") - F.col("n_list"))) / (2.0 * (100 + p))) + 1).cast("int").alias("need"),
+        F.greatest(F.lit(1), F.ceil(F.col("over") / 200.0)).cast("int").alias("need_second"),
+    )
+    unlike = staged(members.where(~near).select("list").distinct())
+    need = F.lit(matches(percent))
+    by_coordinate = members.join(unlike, "list").select("list", F.lit("coordinate").alias("form"), "node", "label", F.col("sig").alias("tags"), (~near).alias("second"), need.alias("need"), need.alias("need_second"))
+    found = _met_by_prefix(staged(by_difference.select("list", "form", *common).union(by_coordinate.select("list", "form", *common))))
+    direct = close.where("outside and over <= 0").select(F.col("list").alias("a"), F.col("node").alias("b"))
+    return with_collisions(found.union(direct).distinct(), nodes).where(F.col("hits") >= matches(percent)).select("a", "b")
 
 
 def near_classes(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
-    """_row, doc_id, n_shingles, component_id and kept of rows from with_signatures()."""
-    full = rows.where("_n > 0")
-    nodes = full.groupBy("_k1", "_k2").agg(F.min("_row").alias("node"), F.min(doc_id).alias("least"), F.first("_sig").alias("sig"), F.first("_n").alias("n"))
+    """row, doc_id, n_shingles, label (of the component, unique), component_id and kept of rows from with_signatures()."""
+    with scratch(rows.sparkSession):
+        named = _components_of_sets(rows, field("doc", doc_id), field("doc", text), width, percent)
+    own = rows.select("row", F.col(field("doc", doc_id)).alias("doc_id"), "n", "k1", "k2")
+    component = F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id")
+    out = own.join(named, ["k1", "k2"], "left").select("row", "doc_id", F.col("n").alias("n_shingles"), "label", component)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _components_of_sets(rows: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    """(k1, k2, label, smallest): the component of each different shingle set, and its smallest id."""
+    full = rows.where("n > 0")
+    nodes = full.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min(F.col(doc_id)).alias("least"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     nodes = staged(nodes)
     postings = prefix_postings(nodes, percent)
     leaders = postings.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("top"), F.count(F.lit(1)).alias("size"))
     leaders = staged(leaders.where("size > 1").select("key", (-F.col("top.minus")).alias("leader")))
     stars = postings.join(leaders, "key").where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    texts = rows.select(F.col("_row").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    links = linked(stars, texts, width, percent)
+    stars = staged(with_collisions(stars, nodes).select("a", "b", "hits"))
+    texts = rows.select(F.col("row").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    links = linked(stars.where(F.col("hits") >= matches(percent)), texts, width, percent)
     labels = staged(components(links))
-    more = residual_pairs(postings, leaders, labels, nodes, texts, width, percent)
-    tested = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = staged(more.join(tested, ["a", "b"], "left_anti"))
+    more = staged(residual_pairs(stars, labels, nodes, texts, width, percent))
     if not more.isEmpty():
         labels = staged(components(links.union(linked(more, texts, width, percent))))
-    found = nodes.join(labels, "node", "left").select("_k1", "_k2", "least", F.coalesce("label", "node").alias("label"))
-    found = staged(found)
+    found = staged(nodes.join(labels, "node", "left").select("k1", "k2", "least", F.coalesce("label", "node").alias("label")))
     smallest = staged(found.groupBy("label").agg(F.min("least").alias("smallest")))
-    named = staged(found.join(smallest, "label").select("_k1", "_k2", "smallest"))
-    out = rows.drop("component_id").join(named, ["_k1", "_k2"], "left")
-    component = F.when(F.col("_n") > 0, F.col("smallest")).otherwise(F.col(doc_id))
-    return out.select("_row", F.col(doc_id), F.col("_n").alias("n_shingles"), component.alias("component_id"), F.col(doc_id).eqNullSafe(component).alias("kept"))
+    return staged(found.join(smallest, "label").select("k1", "k2", "label", "smallest"), keep=True)
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
-    """docs with one document of each near-duplicate class."""
+    """docs with one document of each near-duplicate class: the one of the smallest id, of rows that
+    share this id the first of the table."""
     rows = with_signatures(docs, width, text)
-    dropped = near_classes(rows, doc_id, text, width, percent).where(~F.col("kept")).select("_row")
-    return rows.join(dropped, "_row", "left_anti").select(*docs.columns)
+    classes = near_classes(rows, doc_id, text, width, percent)
+    with scratch(docs.sparkSession):
+        found = staged(classes.where("n_shingles > 0").select("row", "doc_id", "label"))
+        stays = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+        dropped = found.select("row").join(stays.select(F.col("first.row").alias("row")), "row", "left_anti")
+        dropped = staged(dropped, keep=True)
+    return rows.select("doc", "row").join(dropped, "row", "left_anti").select("doc.*")
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
