@@ -7,8 +7,9 @@ in O(n log n) for a pre-token of n bytes. Results of both are kept in a bounded
 The tables are built on the driver from a rank file and broadcast; MAX_VOCABULARY bounds them.
 
 Defined cases: a null text counts as empty and encodes to no ids; special tokens are plain text;
-texts of any length are encoded piece by piece without holding all ids; repeated rows are encoded
-alike; other columns pass through; an empty table gives an empty result.
+texts of any length are encoded piece by piece without holding all ids; repeated rows and rows of null
+ids are encoded alike; other columns pass through, but those named like a result give way to it; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
-from itertools import chain, islice
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +27,16 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolark.core import small_batches
+from echolark.core import field, own_columns, small_batches
 from echolark.llm.textbytes import mix, run_hashes
 
 #: Letters of the plainer pattern, and what it is not used on.
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 OTHER = re.compile(rf"[^\x00-\x1b\x20-\x7e{LATIN}]")
 MAX_VOCABULARY = 1_000_000
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 200_000
 PIECE = 16_384
+BLOCK = 1 << 19
 
 
 class PerfectHash:
@@ -105,14 +107,16 @@ class Tokenizer:
         self._ready()
 
     def _ready(self) -> None:
-        self.decimal = [str(i) for i in range(len(self.pieces))]
-        self.memo: dict[str, tuple[int, ...]] = {}
+        #: What each pre-token met so far comes to: its ids in decimal, and the bytes that these ids stand for.
+        self.decimal: dict[str, str] = {}
+        self.spelled: dict[str, bytes] = {}
+        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
         self.split = regex.compile(self.pattern)
         plain = self.pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{LATIN}0-9]").replace(r"\p{L}", f"[{LATIN}]").replace(r"\p{N}", "[0-9]")
         self.quick = re.compile(plain) if r"\p" not in plain else None
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("decimal", "memo", "split", "quick")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("decimal", "spelled", "old", "split", "quick")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
@@ -124,14 +128,18 @@ class Tokenizer:
             return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}, pattern)
 
     def merged(self, word: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token by merging linked bytes, lowest rank first."""
+        """Ids of one pre-token by merging linked bytes, lowest rank first. The heap holds rank, place
+        and width of each pair as one number."""
         ranks, n = self.ranks.get, len(word)
+        bits = n.bit_length()
+        high, low = 2 * bits, (1 << bits) - 1
         after, before, size = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
-        heap = [(r, i, 2) for i in range(n - 1) if (r := ranks(word[i : i + 2])) is not None]
+        heap = [r << high | i << bits | 2 for i in range(n - 1) if (r := ranks(word[i : i + 2])) is not None]
         heapq.heapify(heap)
         pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, width = pop(heap)
+            top = pop(heap)
+            i, width = top >> bits & low, top & low
             if not size[i] or (j := after[i]) >= n or size[i] + size[j] != width:
                 continue
             size[i], size[j] = width, 0
@@ -139,51 +147,89 @@ class Tokenizer:
             if k < n:
                 before[k] = i
                 if (r := ranks(word[i : k + size[k]])) is not None:
-                    push(heap, (r, i, width + size[k]))
+                    push(heap, r << high | i << bits | width + size[k])
             h = before[i]
             if h >= 0 and (r := ranks(word[h : i + width])) is not None:
-                push(heap, (r, h, size[h] + width))
+                push(heap, r << high | h << bits | size[h] + width)
         rank = self.ranks
         return tuple([rank[word[i : i + z]] for i, z in enumerate(size) if z])
 
-    def learn(self, words: list[str]) -> None:
-        """Puts pre-tokens into the memo: by the perfect hash where it has them, else by merging."""
+    def ids_of(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of pre-tokens: by the perfect hash where it has them, else by merging."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        for word, key, k in zip(words, raw, self.table.lookup(hashes_of(raw)).tolist(), strict=True):
-            self.memo[word] = (self.ids[k],) if k >= 0 and self.keys[k] == key else self.merged(key)
-
-    def tokens(self, text: str) -> list[str]:
-        """The pre-tokens; a plainer pattern, equal on the letters of LATIN, is twice as fast."""
-        return (self.quick if self.quick and not OTHER.search(text) else self.split).findall(text)
-
-    def encode_pieces(self, text: str) -> Iterator[list[int]]:
-        """Ids of the text, PIECE pre-tokens at a time."""
-        matches = (m.group() for m in self.split.finditer(text))
-        while tokens := list(islice(matches, PIECE)) if len(text) > 4 * PIECE else self.tokens(text):
-            if new := [w for w in set(tokens) if w not in self.memo]:
-                if len(self.memo) + len(new) > MEMO_ENTRIES:
-                    self.memo.clear()
-                    new = list(set(tokens))
-                self.learn(new)
-            yield list(chain.from_iterable(map(self.memo.__getitem__, tokens)))
-            if len(text) <= 4 * PIECE:
-                return
+        return [(self.ids[k],) if k >= 0 and self.keys[k] == key else self.merged(key) for key, k in zip(raw, self.table.lookup(hashes_of(raw)).tolist(), strict=True)]
+
+    def learn(self, tokens: Iterable[str]) -> None:
+        """Puts the tokens that are new into the memo. When it is full it becomes the old one, from
+        which words that come again are taken over, so that frequent ones stay."""
+        if not (new := list(set(tokens).difference(self.decimal))):
+            return
+        if len(self.decimal) + len(new) > MEMO_ENTRIES:
+            self.old = (self.decimal, self.spelled)
+            self.decimal, self.spelled = {}, {}
+            new = list(set(tokens))
+        decimal, spelled = self.old
+        for word in [w for w in new if w in decimal]:
+            self.decimal[word], self.spelled[word] = decimal[word], spelled[word]
+        new = [w for w in new if w not in decimal]
+        for word, ids in zip(new, self.ids_of(new), strict=True):
+            self.decimal[word] = ",".join(map(str, ids))
+            self.spelled[word] = self.decode(ids)
+
+    def tokens(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a text, all at once or, of long ones, PIECE at a time. A plainer pattern,
+        equal on the letters of LATIN, is twice as fast."""
+        split = self.quick if self.quick and not OTHER.search(text) else self.split
+        if len(text) <= 4 * PIECE:
+            yield split.findall(text)
+            return
+        matches = (m.group() for m in split.finditer(text))
+        while tokens := list(islice(matches, PIECE)):
+            yield tokens
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.encode_pieces(text)))
-
-    def decode(self, ids: list[int]) -> bytes:
+        out: list[int] = []
+        for tokens in self.tokens(text):
+            self.learn(tokens)
+            for word in tokens:
+                out.extend(map(int, self.decimal[word].split(",")))
+        return out
+
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids in decimal, SHA-256 of what they decode to."""
+    def digests(self, texts: Iterable[str]) -> Iterator[tuple[int, str, str]]:
+        """Of each text, the number of ids, SHA-256 of the ids in decimal, SHA-256 of what they decode
+        to. New pre-tokens of BLOCK characters of text, or of one piece, are looked up at once."""
+        block, size = [], 0
+        for text in texts:
+            if len(text) > 4 * PIECE:
+                yield from self._of_block(block)
+                yield self._of_pieces(self.tokens(text))
+                block, size = [], 0
+                continue
+            block.append(next(self.tokens(text)))
+            size += len(text)
+            if size > BLOCK:
+                yield from self._of_block(block)
+                block, size = [], 0
+        yield from self._of_block(block)
+
+    def _of_block(self, block: list[list[str]]) -> Iterator[tuple[int, str, str]]:
+        self.learn(set().union(*block))
+        for tokens in block:
+            ids = ",".join(map(self.decimal.__getitem__, tokens)).encode()
+            text = b"".join(map(self.spelled.__getitem__, tokens))
+            yield ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
+
+    def _of_pieces(self, pieces: Iterable[list[str]]) -> tuple[int, str, str]:
         n, ids_sha, text_sha = 0, hashlib.sha256(), hashlib.sha256()
-        for ids in self.encode_pieces(text):
-            if n and ids:
-                ids_sha.update(b",")
-            n += len(ids)
-            ids_sha.update(",".join(map(self.decimal.__getitem__, ids)).encode())
-            text_sha.update(self.decode(ids))
+        for tokens in pieces:
+            self.learn(tokens)
+            ids = ",".join(map(self.decimal.__getitem__, tokens)).encode()
+            ids_sha.update(b"," + ids if n else ids)
+            n += ids.count(b",") + 1
+            text_sha.update(b"".join(map(self.spelled.__getitem__, tokens)))
         return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
 
@@ -216,7 +262,7 @@ def digested(tokenizer, text: Column) -> Column:
 
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
     def digest(column: pa.Array) -> pa.Array:
-        found = [tokenizer.value.digest(x.as_py() or "") for x in column]
+        found = list(tokenizer.value.digests(x.as_py() or "" for x in column))
         return pa.StructArray.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))], names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digest(text)
@@ -232,7 +278,9 @@ def tokenised(docs: DataFrame, tokenizer=None) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256."""
     small_batches(docs.sparkSession)
     tokenizer = tokenizer or public_tokenizer(docs.sparkSession)
-    return docs.withColumn("_d", digested(tokenizer, F.col("text"))).withColumns({k: F.col(f"_d.{k}") for k in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("_d")
+    given = docs.select(own_columns(docs), digested(tokenizer, docs["text"]).alias("found"))
+    names = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return given.select(*[field("doc", c) for c in docs.columns if c.lower() not in names], *[f"found.{k}" for k in names])
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
