@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -83,11 +83,21 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def own_columns(df: DataFrame, name: str = "doc") -> Column:
-    """All columns of df as one struct, where working columns cannot clash with them."""
-    return F.struct(*[df[f"`{c}`"] for c in df.columns]).alias(name)
+def own_columns(df: DataFrame, name: str = "doc", but: Sequence[str] = ()) -> Column:
+    """The columns of df, `but` some, as one struct, where working columns cannot clash with them."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns if c not in but]).alias(name)
 
 
 def field(struct: str, name: str) -> str:
     """The column reference of a field of a struct."""
     return f"{struct}.`{name}`"
+
+
+#: Up to so many small rows (an id, a few numbers) one side of a join is sent to every executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a staged table of small rows, marked for broadcast if it has at most `rows` of them; larger
+    ones are joined by shuffle. Either way the join has the same rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
