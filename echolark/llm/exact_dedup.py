@@ -2,15 +2,17 @@ r"""Exact deduplication by content-defined chunk recipes, in DataFrame operation
 
 A text, A-Z lower-cased, is cut into chunks where its content says so: after CHUNK_MIN characters,
 at the first place behind a letter pair and space that occurs about once in a kilobyte, and after
-CHUNK_MAX at the latest. A chunk's identifier is a 64-bit hash, verified over the whole corpus: the
-chunks that share one must agree in SHA-256, else the digest takes its place. The ordered list of
-identifiers is the document's recipe; equal recipes are equal texts, and the texts' own SHA-256
-confirms them. Texts are read once and never shuffled; recipes, a hundredth of their size, are.
+CHUNK_MAX at the latest. Chunks are deduplicated over the whole corpus: chunks of one SHA-256 get one
+identifier, a number given to each different chunk that occurs twice or more. A document with a chunk of its own has
+no copy; of every other document the ordered list of identifiers is its recipe, and documents of equal
+recipes are copies. The SHA-256 of the whole texts only confirms that: a group of equal recipes and
+different texts is an error, not a group. Texts are read once and not shuffled to find the classes;
+digests of chunks, a twentieth of their size, are.
 
 Defined cases: null counts as empty, and all empty texts are equal; of equal texts the row with the
-largest id stays, a null id being the smallest; rows that repeat an id and a text stay once; other
-columns pass through and columns named like the results are replaced; an empty table gives an
-empty result.
+largest id stays, a null id being the smallest; rows that repeat an id and a text stay once; texts of
+any length are cut by one pass; other columns, whatever their names, pass through `drop_copies`; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,15 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolark.core import staged
+from echolark.core import broadcast_if_small, field, own_columns, scratch, staged
 
 CHUNK_MIN, CHUNK_MAX = 256, 4096
-CHUNK = rf"(?s).{{{CHUNK_MIN},{CHUNK_MAX}}}?(?:(?<=[aeiourst] [a-m][a-z])|\z)|.+"
+CHUNK = rf"(?s).{{{CHUNK_MIN},{CHUNK_MAX}}}?(?:(?<=[aeiourst] [a-m][a-z])|\z)|.{{1,{CHUNK_MAX}}}"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters beyond ASCII that lower() would change.
 OTHER_UPPER = r"[^\x00-\x7F&&[\p{Lu}\p{Lt}\p{Nl}\p{So}]]"
-CONFLICT_ROWS = 10_000
-_OWN = ["_row", "_ids", "_digests", "text_sha256"]
 
 
 def ascii_lower(text: Column) -> Column:
@@ -34,55 +34,55 @@ def ascii_lower(text: Column) -> Column:
     return F.when(text.rlike(OTHER_UPPER), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
-def _long_of(digest: Column, at: int) -> Column:
-    return F.conv(F.substring(digest, at, 15), 16, 10).cast("long")
-
-
 def with_recipes(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """df, staged, with a row number, the chunks' hashes and digests, and the text's SHA-256."""
-    own = df.drop(*_OWN).withColumn("_norm", ascii_lower(F.coalesce(F.col(text), F.lit(""))))
-    own = own.withColumn("_chunks", F.regexp_extract_all("_norm", F.lit(CHUNK), F.lit(0)))
-    digest = F.transform("_chunks", lambda c: F.sha2(c, 256))
-    own = own.withColumns({"_row": F.monotonically_increasing_id(), "_ids": F.transform("_chunks", lambda c: F.xxhash64(c)), "_digests": F.transform(digest, lambda d: F.struct(_long_of(d, 1).alias("a"), _long_of(d, 16).alias("b"))), "text_sha256": F.sha2("_norm", 256)})
-    return staged(own.drop("_norm", "_chunks", *([] if keep_text else [text])))
+    """df's columns (without the text, if that is not kept) as the struct doc, staged with a row number,
+    the chunks' digests and the text's."""
+    norm = ascii_lower(F.coalesce(df[f"`{text}`"], F.lit("")))
+    own = df.select(own_columns(df, but=() if keep_text else (text,)), F.monotonically_increasing_id().alias("row"), norm.alias("norm"))
+    own = own.withColumn("chunks", F.regexp_extract_all("norm", F.lit(CHUNK), F.lit(0)))
+    digests = F.transform("chunks", lambda c: F.unhex(F.sha2(c, 256)))
+    return staged(own.select("doc", "row", digests.alias("digests"), F.sha2("norm", 256).alias("text_sha256")))
 
 
-def chunk_dictionary(rows: DataFrame) -> DataFrame:
-    """One row per identifier: how often it occurs, and whether its chunks agree in their digests."""
-    chunks = rows.select(F.explode(F.arrays_zip("_ids", "_digests")).alias("c")).select(F.col("c._ids").alias("id"), F.col("c._digests.a").alias("a"), F.col("c._digests.b").alias("b"))
-    sums = chunks.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
-    return sums.select("id", "n", ((F.col("a0") == F.col("a1")) & (F.col("b0") == F.col("b1"))).alias("verified"))
+def chunk_dictionary(chunks: DataFrame) -> DataFrame:
+    """(digest, id) of chunks (row, at, n, digest): an identifier for each different chunk that occurs
+    twice or more."""
+    found = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    return staged(found.select("digest", F.monotonically_increasing_id().alias("id")))
 
 
-def verified_recipe(rows: DataFrame) -> Column:
-    """The ordered list of verified identifiers. Identifiers in conflict are a handful at any size
-    (64 bits); beyond CONFLICT_ROWS every chunk goes by its digest instead."""
-    bad = [r.id for r in chunk_dictionary(rows).where(~F.col("verified")).select("id").limit(CONFLICT_ROWS + 1).collect()]
-    if not bad:
-        return F.col("_ids")
-    by_digest = lambda i, d: F.xxhash64(d.a, d.b)
-    if len(bad) > CONFLICT_ROWS:
-        return F.zip_with("_ids", "_digests", by_digest)
-    return F.zip_with("_ids", "_digests", lambda i, d: F.when(i.isin(bad), by_digest(i, d)).otherwise(i))
+def recipes(rows: DataFrame) -> DataFrame:
+    """(row, recipe) of the rows that can have a copy: those without a chunk that occurs once."""
+    chunks = rows.select("row", F.size("digests").alias("n"), F.posexplode("digests").alias("at", "digest"))
+    named = chunks.join(chunk_dictionary(chunks), "digest")
+    lists = named.groupBy("row", "n").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("held")).where(F.size("held") == F.col("n"))
+    empty = rows.where(F.size("digests") == 0).select("row", F.array().cast("array<bigint>").alias("recipe"))
+    return staged(lists.select("row", F.transform("held", lambda x: x.id).alias("recipe")).union(empty))
 
 
 def classes(rows: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """rows of with_recipes() with keep_id, group_size and kept. Only groups of two or more are joined
-    back; a large group is many rows of one join key, which Spark's skew join splits."""
-    known = rows.withColumn("_recipe", verified_recipe(rows)).drop("keep_id", "group_size", "kept")
-    groups = known.groupBy("_recipe", "text_sha256").agg(F.max(F.struct(F.col(doc_id).alias("id"), "_row")).alias("_keep"), F.count(F.lit(1)).alias("group_size"))
-    groups = staged(groups.where(F.col("group_size") > 1))
-    found = known.join(groups, ["_recipe", "text_sha256"], "left")
-    keep = F.when(F.col("_keep").isNull(), F.col(doc_id)).otherwise(F.col("_keep.id"))
-    kept = F.coalesce(F.col("_keep._row") == F.col("_row"), F.lit(True))
-    return found.withColumns({"keep_id": keep, "group_size": F.coalesce("group_size", F.lit(1).cast("long")), "kept": kept}).drop("_keep", "_recipe")
-
-
-def drop_copies(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """docs without all but one of each group of equal texts; long texts are moved once."""
-    rows = with_recipes(docs)
-    dropped = classes(rows.select("_row", "_ids", "_digests", "text_sha256", doc_id), doc_id).where(~F.col("kept")).select("_row")
-    return rows.join(dropped, "_row", "left_anti").select(*docs.columns)
+    """(row, doc_id, text_sha256, keep_id, group_size, kept) of rows from with_recipes(). A large group
+    is many rows of one join key, which Spark's skew join splits."""
+    own = rows.select("row", F.col(field("doc", doc_id)).alias("doc_id"), "text_sha256")
+    with scratch(rows.sparkSession):
+        known = staged(recipes(rows).join(own, "row"))
+        last = F.max(F.struct("doc_id", "row")).alias("last")
+        groups = known.groupBy("recipe").agg(last, F.count(F.lit(1)).alias("group_size"), F.min("text_sha256").alias("s0"), F.max("text_sha256").alias("s1"))
+        agree = F.when(F.col("s0") == F.col("s1"), F.col("group_size")).otherwise(F.raise_error(F.lit("equal recipes of different texts")).cast("long"))
+        groups = staged(groups.where(F.col("group_size") > 1).select("recipe", "last", agree.alias("group_size")))
+        members = staged(known.join(groups, "recipe").select("row", "last", "group_size"), keep=True)
+    found = own.join(members, "row", "left")
+    keep = F.when(F.col("last").isNull(), F.col("doc_id")).otherwise(F.col("last.doc_id"))
+    kept = F.coalesce(F.col("last.row") == F.col("row"), F.lit(True))
+    return found.select("row", "doc_id", "text_sha256", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), kept.alias("kept"))
+
+
+def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without all but one of each group of equal texts. Texts stay where they are unless more
+    rows go than may be broadcast; then they are shuffled once."""
+    rows = with_recipes(docs, text)
+    dropped = staged(classes(rows, doc_id).where(~F.col("kept")).select("row"))
+    return rows.join(broadcast_if_small(dropped), "row", "left_anti").select("doc.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
