@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolark.core import field, own_columns, scratch, small_batches, staged
+from echolark.core import broadcast_if_small, field, own_columns, scratch, small_batches, staged
 from echolark.llm.components import components
 from echolark.llm.textbytes import LOWER, Texts, mix, run_hashes, texts_of, windows, words_of
 
@@ -280,7 +280,7 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         stays = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
         dropped = found.select("row").join(stays.select(F.col("first.row").alias("row")), "row", "left_anti")
         dropped = staged(dropped, keep=True)
-    return rows.select("doc", "row").join(dropped, "row", "left_anti").select("doc.*")
+    return rows.select("doc", "row").join(broadcast_if_small(dropped), "row", "left_anti").select("doc.*")
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
