@@ -36,12 +36,15 @@ def signal_stats(pcm: bytes) -> dict[str, float]:
 
 @lru_cache
 def _filters(low: float, n: int = 26, size: int = 512) -> np.ndarray:
+    """Triangles between neighbouring mel points, each point cut down to a whole FFT bin."""
     mel = lambda f: 2595 * np.log10(1 + f / 700)
-    edges = 700 * (10 ** (np.linspace(mel(low), mel(RATE / 2), n + 2) / 2595) - 1)
-    bins = np.fft.rfftfreq(size, 1 / RATE)
-    up = (bins - edges[:-2, None]) / np.diff(edges)[:-1, None]
-    down = (edges[2:, None] - bins) / np.diff(edges)[1:, None]
-    return np.maximum(0, np.minimum(up, down))
+    points = 700 * (10 ** (np.linspace(mel(low), mel(RATE / 2), n + 2) / 2595) - 1)
+    edges = np.minimum(np.floor((size + 1) * points / RATE), size // 2)
+    left, peak, right = edges[:-2, None], edges[1:-1, None], edges[2:, None]
+    k = np.arange(size // 2 + 1)
+    up = np.where((k >= left) & (k < peak), (k - left) / np.maximum(peak - left, 1), 0)
+    down = np.where((k >= peak) & (k < right), (right - k) / np.maximum(right - peak, 1), 0)
+    return up + down
 
 
 @lru_cache
@@ -106,53 +109,104 @@ def dtw_distance(a: np.ndarray, b: np.ndarray, band: float = 0.3) -> float:
 
 
 def subsequence_dtw(prototype: np.ndarray, sequence: np.ndarray, ratios: tuple[float, ...] = (0.75, 1.0, 1.25)) -> float:
-    """Least distance of the prototype to a window of the sequence."""
-    best = np.inf
+    """Least distance of the prototype to a window of the sequence, of three frames at least and a hop
+    of a fifth of the window; the last window ends with the sequence."""
+    best, n = np.inf, len(sequence)
     for ratio in ratios:
-        size = min(len(sequence), max(1, round(ratio * len(prototype))))
-        hop = max(1, len(prototype) // 5)
-        for start in sorted({*range(0, len(sequence) - size + 1, hop), len(sequence) - size}):
-            best = min(best, dtw_distance(prototype, sequence[start : start + size], 1.0))
+        size = min(n, max(3, round(ratio * len(prototype))))
+        starts = np.append(np.arange(0, n - size, max(1, size // 5)), n - size)
+        best = min(best, *(dtw_distance(sequence[k : k + size], prototype, 1.0) for k in starts))
     return best
 
 
+def spread_rows(distance: np.ndarray, count: int) -> np.ndarray:
+    """The most central row, then in turn the row farthest from those there."""
+    at = np.zeros(min(count, len(distance)), int)
+    at[0] = distance.sum(axis=1).argmin()
+    gap = distance[at[0]].copy()
+    for k in range(1, len(at)):
+        gap[at[:k]] = -1
+        at[k] = gap.argmax()
+        gap = np.minimum(gap, distance[at[k]])
+    return at
+
+
 def medoids(distance: np.ndarray, count: int = 4, rounds: int = 8) -> list[int]:
-    """Row of least mean first, then the farthest from those chosen; refined until nothing moves."""
-    chosen = [int(np.argmin(distance.mean(axis=1)))]
-    while len(chosen) < min(count, len(distance)):
-        gap = distance[:, chosen].min(axis=1)
-        gap[chosen] = -1
-        chosen.append(int(np.argmax(gap)))
+    """Central rows of clusters around spread rows.
+
+    With `member`, rows by clusters, each column of distance @ member holds every row's distance to the
+    whole cluster; the least of its own rows is the medoid. Clusters without a row keep theirs."""
+    at = spread_rows(distance, count)
     for _ in range(rounds):
-        owner = np.argmin(distance[:, chosen], axis=1)
-        moved = []
-        for k in range(len(chosen)):
-            group = np.flatnonzero(owner == k)
-            moved.append(int(group[np.argmin(distance[np.ix_(group, group)].sum(axis=1))]) if len(group) else chosen[k])
-        if moved == chosen:
+        member = distance[:, at].argmin(axis=1)[:, None] == np.arange(len(at))
+        cost = np.where(member, distance @ member, np.inf)
+        new = np.where(member.any(axis=0), cost.argmin(axis=0), at)
+        if (new == at).all():
             break
-        chosen = moved
-    return chosen
-
-
-def ctc_path(logp: np.ndarray, labels: list[int], blank: int = 0) -> list[int]:
-    """State index by frame of the best path through blank, label, blank, ...; a skip needs two different labels."""
-    states = [blank]
-    for x in labels:
-        states += [x, blank]
-    n, s = len(logp), len(states)
-    if n < len(labels):
-        raise ValueError("too few frames")
-    score = np.full((n, s), -np.inf)
-    back = np.zeros((n, s), int)
-    score[0, : min(2, s)] = logp[0, states[: min(2, s)]]
+        at = new
+    return at.tolist()
+
+
+def ctc_path(logp: np.ndarray, labels: list[int], blank: int = 0) -> np.ndarray:
+    """Place by frame on the best path through blank, label, blank, ...: label k is at place 2 k + 1.
+
+    All places advance at once: each takes the best of staying, one step, and a step over a blank
+    between two different labels, the shortest move among equals."""
+    n, places = len(logp), np.full(2 * len(labels) + 1, blank)
+    places[1::2] = labels
+    if n < len(labels) or not labels:
+        raise ValueError("too few frames or no label")
+    emitted = np.asarray(logp, float)[:, places]
+    over = np.zeros(len(places), bool)
+    over[2:] = (places[2:] != blank) & (places[2:] != places[:-2])
+    score = np.where(np.arange(len(places)) < 2, emitted[0], -np.inf)
+    moves = np.zeros((n, len(places)), np.int8)
     for t in range(1, n):
-        for k in range(s):
-            options = [k, *([k - 1] if k else []), *([k - 2] if k > 1 and states[k] != blank and states[k] != states[k - 2] else [])]
-            back[t, k] = max(options, key=lambda o: score[t - 1, o])
-            score[t, k] = score[t - 1, back[t, k]] + logp[t, states[k]]
-    k = s - 1 if s == 1 or score[-1, s - 1] >= score[-1, s - 2] else s - 2
-    path = [k]
+        ways = np.full((3, len(places)), -np.inf)
+        ways[0], ways[1, 1:] = score, score[:-1]
+        ways[2, 2:] = np.where(over[2:], score[:-2], -np.inf)
+        moves[t] = ways.argmax(axis=0)
+        score = ways.max(axis=0) + emitted[t]
+    path = np.zeros(n, int)
+    path[-1] = len(places) - 1 - int(score[-2] > score[-1])
+    if not np.isfinite(score[path[-1]]):
+        raise ValueError("no path")
     for t in range(n - 1, 0, -1):
-        path.append(k := int(back[t, k]))
-    return path[::-1]
+        path[t - 1] = path[t] - moves[t, path[t]]
+    return path
+
+
+def ctc_phones(logp: np.ndarray, labels: list[int], blank: int = 0, stride_ms: float = 20.0) -> list[dict]:
+    """What each expected label came to on the best path, and labels that were not expected.
+
+    A label is DELETION if its span has none or neither it nor another label reaches 0.05, SUBSTITUTION
+    if another label is likelier there, else MATCH. In blank spans, runs of a label of 0.5 or more are
+    INSERTION, but for labels already seen in place of another. By start, expected ones first."""
+    path, p = ctc_path(logp, labels, blank), np.exp(np.asarray(logp, float))
+    expected = np.asarray(labels)
+    inside = path[:, None] == 2 * np.arange(len(labels)) + 1
+    frames = inside.sum(axis=0)
+    mean = (inside.T @ p) / np.maximum(frames, 1)[:, None]
+    own = mean[np.arange(len(labels)), expected]
+    mean[np.arange(len(labels)), expected] = 0
+    mean[:, blank] = 0
+    rival, other = mean.argmax(axis=1), mean.max(axis=1)
+    sure = np.where(frames > 0, np.maximum(own, other), 0)
+    seen = np.where(other > own, rival, expected)
+    status = np.select([sure < 0.05, seen != expected], ["DELETION", "SUBSTITUTION"], "MATCH")
+    first, last = inside.argmax(axis=0), len(path) - inside[::-1].argmax(axis=0)
+    ms = lambda k: int(np.rint(k * stride_ms))
+    out = []
+    for k, label in enumerate(labels):
+        span = (last[k] - first[k]) * stride_ms
+        there = frames[k] > 0
+        out.append(dict(expected=label, observed=int(seen[k]) if there else None, start_ms=ms(first[k]) if there else 0, end_ms=ms(last[k]) if there else 0, p_expected=float(own[k]) if there else 0.0, p_other=float(other[k]) if there else 0.0, confidence=float(sure[k]), status=str(status[k]), odd_duration=bool(there and not 20 <= span <= 500)))
+    p[:, blank] = 0
+    loud, top = p.argmax(axis=1), p.max(axis=1)
+    extra = (path % 2 == 0) & (top >= 0.5) & ~np.isin(loud, seen[status == "SUBSTITUTION"])
+    at = np.flatnonzero(extra)
+    cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(loud[at]) != 0)) + 1
+    for run in np.split(at, cut) if len(at) else []:
+        level = float(top[run].mean())
+        out.append(dict(expected=None, observed=int(loud[run[0]]), start_ms=ms(run[0]), end_ms=ms(run[-1] + 1), p_expected=0.0, p_other=level, confidence=level, status="INSERTION", odd_duration=False))
+    return sorted(out, key=lambda x: (x["start_ms"], x["expected"] is None))
