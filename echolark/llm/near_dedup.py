@@ -181,12 +181,14 @@ def with_collisions(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.withColumn("hits", F.size(F.array_intersect("sig_a", "sig_b"))).drop("sig_a", "sig_b")
 
 
-def _met_by_prefix(members: DataFrame) -> DataFrame:
-    """(a, b) of members (list, form, node, label, tags, first, second, need, need_second): pairs with
-    different labels, one of them `second`, that share `need` of the tags of each at least.
+def _met_by_prefix(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members (list, form, node, label, tags, second, need, need_second, load): pairs with
+    different labels, one of them `second`, that may share (load_a + load_b) / 2 (100 + percent) tags, and
+    each `need` of its own at least.
 
     Tags that do not occur under two labels, or under no `second`, cannot be shared by such a pair and
-    go; of the rest, rarest first, the pair shares one within the first (count - need + 1) of both."""
+    go; of the rest, rarest first, the pair shares one within the first (count - need + 1) of both. At
+    the first one shared, what both still have ahead bounds what they share."""
     at = ["list", "form"]
     tagged = members.select(*at, "node", "label", "second", F.explode("tags").alias("tag"))
     spread = tagged.groupBy(*at, "tag").agg(F.count(F.lit(1)).alias("f"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("second").alias("any"))
@@ -194,11 +196,16 @@ def _met_by_prefix(members: DataFrame) -> DataFrame:
     held = tagged.join(spread, [*at, "tag"]).groupBy(*at, "node").agg(F.sort_array(F.collect_list(F.struct("f", "tag"))).alias("held"))
     held = staged(held.join(members.drop("tags"), [*at, "node"]))
     reach = lambda need: F.size("held") - F.col(need) + 1
-    post = lambda need: F.explode(F.slice("held", F.lit(1), reach(need)))
-    a = held.where(reach("need") > 0).select(*at, F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("second").alias("both"), post("need").alias("h"))
-    b = held.where(F.col("second") & (reach("need_second") > 0)).select(*at, F.col("node").alias("b"), F.col("label").alias("label_b"), post("need_second").alias("h"))
-    a, b = (staged(x.withColumn("tag", F.col("h.tag")).drop("h")) for x in (a, b))
-    return a.join(b, [*at, "tag"]).where((F.col("label_a") != F.col("label_b")) & (~F.col("both") | (F.col("a") < F.col("b")))).select("a", "b").distinct()
+
+    def posted(side: str, need: str) -> DataFrame:
+        own = held.where((reach(need) > 0) & (F.lit(side == "a") | F.col("second")))
+        own = own.select(*at, F.col("node").alias(side), F.col("label").alias(f"label_{side}"), F.col("load").alias(f"load_{side}"), F.col("second").alias(f"second_{side}"), F.size("held").alias("count"), F.posexplode(F.slice("held", F.lit(1), reach(need))).alias("place", "h"))
+        return staged(own.withColumns({"tag": F.col("h.tag"), f"ahead_{side}": F.col("count") - F.col("place")}).drop("h", "count", "place"))
+
+    a, b = posted("a", "need"), posted("b", "need_second")
+    once = ~F.col("second_a") | (F.col("a") < F.col("b"))
+    enough = F.lit(2 * (100 + percent)) * F.least("ahead_a", "ahead_b") >= F.col("load_a") + F.col("load_b")
+    return a.join(b, [*at, "tag"]).where((F.col("label_a") != F.col("label_b")) & once & enough).select("a", "b").distinct()
 
 
 def residual_pairs(stars: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -208,7 +215,8 @@ def residual_pairs(stars: DataFrame, labels: DataFrame, nodes: DataFrame, texts:
     |D(a)| + |D(b)| - 2 |D(a) & D(b)|, and a link allows t (n_a + n_b) of it, t = (100 - p) / (100 + p).
     If b is not linked with L, D(b) has over t (n_b + n_L), so a link of a and b needs
       |D(a) & D(b)| > (|D(a)| - t (n_a - n_L)) / 2   and   |D(a) & D(b)| >= (|D(b)| - t (n_b + n_L)) / (1 + t).
-    What copies changed each for itself, only one of them has, so that few are left to meet. Documents
+    What copies changed each for itself, only one of them has, so that few are left to meet; and two that
+    meet must share (|D(a)| + |D(b)| - t (n_a + n_b)) / 2, which their loads add up to. Documents
     of few collisions with L (unlike it) meet the others under coordinates instead, of which linked
     ones share matches(percent)."""
     of = labels.select("node", "label")
@@ -225,16 +233,17 @@ def residual_pairs(stars: DataFrame, labels: DataFrame, nodes: DataFrame, texts:
     beyond = _with_texts(pairs, texts).select(F.col("a").alias("list"), F.col("b").alias("node"), differ("text_a", "text_b").alias("tags"))
     d, p = F.size("tags"), percent
     close = staged(members.where(near).join(beyond, ["list", "node"]).withColumn("over", (100 + p) * d - (100 - p) * (F.col("n") + F.col("n_list"))))
-    common = ["node", "label", "tags", "second", "need", "need_second"]
+    common = ["node", "label", "tags", "second", "need", "need_second", "load"]
     by_difference = close.select(
         "list", F.lit("difference").alias("form"), "node", "label", "tags", (F.col("outside") & (F.col("over") > 0)).alias("second"),
         (F.floor(((100 + p) * d - (100 - p) * (F.col("n") - F.col("n_list"))) / (2.0 * (100 + p))) + 1).cast("int").alias("need"),
         F.greatest(F.lit(1), F.ceil(F.col("over") / 200.0)).cast("int").alias("need_second"),
+        ((100 + p) * d - (100 - p) * F.col("n")).cast("long").alias("load"),
     )
     unlike = staged(members.where(~near).select("list").distinct())
     need = F.lit(matches(percent))
-    by_coordinate = members.join(unlike, "list").select("list", F.lit("coordinate").alias("form"), "node", "label", F.col("sig").alias("tags"), (~near).alias("second"), need.alias("need"), need.alias("need_second"))
-    found = _met_by_prefix(staged(by_difference.select("list", "form", *common).union(by_coordinate.select("list", "form", *common))))
+    by_coordinate = members.join(unlike, "list").select("list", F.lit("coordinate").alias("form"), "node", "label", F.col("sig").alias("tags"), (~near).alias("second"), need.alias("need"), need.alias("need_second"), (need * (100 + p)).cast("long").alias("load"))
+    found = _met_by_prefix(staged(by_difference.select("list", "form", *common).union(by_coordinate.select("list", "form", *common))), percent)
     direct = close.where("outside and over <= 0").select(F.col("list").alias("a"), F.col("node").alias("b"))
     return with_collisions(found.union(direct).distinct(), nodes).where(F.col("hits") >= matches(percent)).select("a", "b")
 
