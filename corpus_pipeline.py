@@ -2,32 +2,55 @@
 
 from __future__ import annotations
 
+import threading
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from echolark.core import holding, read_table, release, staged
 from echolark.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality_rules
 
+_last = threading.local()
+
+
+def _stage(f):
+    """A stage that first deletes what the stage before it in this thread had staged: by the contract of
+    STAGES, that one's result is on disk by then."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _last.__dict__.setdefault("paths", []))
+        with holding(_last.paths):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the learned list keep."""
     return quality_rules.judged(docs, read_table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
 
 
+@_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     return exact_dedup.drop_copies(docs)
 
 
+@_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: shingles of five words, similarity 0.8."""
     return near_dedup.drop_near_copies(docs, width=5, percent=80)
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target shares; documents of short sources repeat."""
     return mixing.mixed_documents(docs)
 
 
+@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document of the mix with its number of tokens and the digests of ids and decoded bytes."""
     return byte_bpe.tokenised(docs).select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -43,13 +66,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn; what a stage has written goes once the next one's input is on disk."""
     docs, before = read_table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
-        written: list[str] = []
-        with holding(written):
-            docs = stage(spark, docs, sf_dir)
-            if k == len(STAGES) - 1:
-                return docs
-            given = list(written)
-            docs = staged(docs)
-        release(spark, before + given)
-        before = [x for x in written if x not in given]
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            written: list[str] = []
+            with holding(written):
+                docs = staged(docs)
+            release(spark, before)
+            before = written
     return docs
