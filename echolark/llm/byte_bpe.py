@@ -34,7 +34,7 @@ from echolark.llm.textbytes import mix, run_hashes
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 OTHER = re.compile(rf"[^\x00-\x1b\x20-\x7e{LATIN}]")
 MAX_VOCABULARY = 1_000_000
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 300_000
 PIECE = 16_384
 BLOCK = 1 << 19
 
@@ -101,6 +101,10 @@ class Tokenizer:
         self.keys = list(ranks)
         self.ids = list(ranks.values())
         self.table = PerfectHash(hashes_of(self.keys))
+        self.pairs = np.full(1 << 16, -1, np.int64)
+        for key, i in ranks.items():
+            if len(key) == 2:
+                self.pairs[key[0] << 8 | key[1]] = i
         self.pieces = [b""] * (max(self.ids, default=-1) + 1)
         for key, i in ranks.items():
             self.pieces[i] = key
@@ -127,14 +131,14 @@ class Tokenizer:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}, pattern)
 
-    def merged(self, word: bytes) -> tuple[int, ...]:
+    def merged(self, word: bytes, firsts: list[int]) -> tuple[int, ...]:
         """Ids of one pre-token by merging linked bytes, lowest rank first. The heap holds rank, place
-        and width of each pair as one number."""
+        and width of each pair as one number; `firsts` are the ranks of the pairs of single bytes."""
         ranks, n = self.ranks.get, len(word)
         bits = n.bit_length()
         high, low = 2 * bits, (1 << bits) - 1
         after, before, size = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
-        heap = [r << high | i << bits | 2 for i in range(n - 1) if (r := ranks(word[i : i + 2])) is not None]
+        heap = [r << high | i << bits | 2 for i, r in enumerate(firsts) if r >= 0]
         heapq.heapify(heap)
         pop, push = heapq.heappop, heapq.heappush
         while heap:
@@ -157,7 +161,16 @@ class Tokenizer:
     def ids_of(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of pre-tokens: by the perfect hash where it has them, else by merging."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        return [(self.ids[k],) if k >= 0 and self.keys[k] == key else self.merged(key) for key, k in zip(raw, self.table.lookup(hashes_of(raw)).tolist(), strict=True)]
+        found = self.table.lookup(hashes_of(raw)).tolist()
+        out = [(self.ids[k],) if k >= 0 and self.keys[k] == key else None for key, k in zip(raw, found, strict=True)]
+        misses = [i for i, ids in enumerate(out) if ids is None]
+        data = np.frombuffer(b"".join([raw[i] for i in misses]) + b"\0", np.uint8).astype(np.int64)
+        firsts, at = self.pairs[data[:-1] << 8 | data[1:]].tolist(), 0
+        for i in misses:
+            word = raw[i]
+            out[i] = self.merged(word, firsts[at : at + len(word) - 1])
+            at += len(word)
+        return out
 
     def learn(self, tokens: Iterable[str]) -> None:
         """Puts the tokens that are new into the memo. When it is full it becomes the old one, from
