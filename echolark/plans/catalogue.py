@@ -1,8 +1,8 @@
 """Every registered query of the acoustic and decision engine, with its SQL twin."""
 
 from echolark.operators import calibration, kernels, learning, phonetics, relational, scoring, sequences
-from echolark.streaming import sessions
+from echolark.streaming import sessions, stateful
 
-MODULES = (scoring, relational, sequences, calibration, kernels, learning, phonetics, sessions)
+MODULES = (scoring, relational, sequences, calibration, kernels, learning, phonetics, sessions, stateful)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: sql for m in MODULES for k, sql in m.ORACLE_SQL.items()}

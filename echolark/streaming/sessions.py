@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -10,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from echolark.core import read_table, shared_dir
+from echolark.core import read_table
 from echolark.plans.domain import FRAMES_SQL, frames
+from echolark.streaming.stateful import drained, events_stream
 
 LIMIT, WINDOW_S = 20, 86_400
 
@@ -55,26 +55,10 @@ def session_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_summary(frames(spark, sf_dir))
 
 
-def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a bounded stream to its end into a table in the shared folder and reads it back."""
-    spark = stream.sparkSession
-    out = tempfile.mktemp(prefix="stream-", dir="").lstrip("/")
-    path = f"{shared_dir(spark)}/{out}"
-    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-log").outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
-
-
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = read_table(spark, sf_dir, "events").schema
-    found = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    return found.withColumn("ts", F.col("ts").cast("timestamp"))
-
-
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One event per attempt as the stream brings them, within a watermark of an hour."""
-    s = _events(spark, sf_dir).withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
-    return _drained(s.select("event_id", "user_id", "event_type"), "append")
+    s = events_stream(spark, sf_dir).withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
+    return drained(s.select("event_id", "user_id", "event_type"))
 
 
 def tumbling_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
