@@ -88,6 +88,14 @@ def own_columns(df: DataFrame, name: str = "doc", but: Sequence[str] = ()) -> Co
     return F.struct(*[df[f"`{c}`"] for c in df.columns if c not in but]).alias(name)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """`name`, made longer until df has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def field(struct: str, name: str) -> str:
     """The column reference of a field of a struct."""
     return f"{struct}.`{name}`"
