@@ -111,10 +111,8 @@ def until_budget(cut: DataFrame, budget: int, ranges: int) -> DataFrame:
     return taken.groupBy("row").agg(F.sum("words").alias("taken"))
 
 
-def mix_sources(df: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float | None = None, max_epochs: int = 3, seed: int = 7, doc_id: str = "doc_id") -> DataFrame:
-    """df has doc_id, source and size (and `tie`, a number that tells rows of one id apart, if it is to
-    order them). Returns df's columns as the struct doc with row, size, source_size, target and taken
-    (words, repeats counted)."""
+def _served(df: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float | None = None, max_epochs: int = 3, seed: int = 7, doc_id: str = "doc_id") -> DataFrame:
+    """(doc, row, size, source_size, target, taken) of df, its columns as the struct doc."""
     tie = [df["tie"]] if "tie" in df.columns else []
     key = F.xxhash64(F.lit(seed), df[f"`{doc_id}`"], *tie)
     rows = staged(df.select(own_columns(df), F.monotonically_increasing_id().alias("row"), df[f"`{doc_id}`"].alias("doc_id"), df["source"].alias("source"), df["size"].alias("size"), key.alias("key")))
@@ -129,11 +127,19 @@ def mix_sources(df: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: flo
     return named.join(broadcast_if_small(taken), "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
 
 
+def mix_sources(df: DataFrame, **options) -> DataFrame:
+    """df has doc_id, source and size (and `tie`, a number that tells rows of one id apart, if it is to
+    order them). Adds source_size, target and taken (words, repeats counted), to which columns of these
+    names give way."""
+    results = ("source_size", "target", "taken")
+    return _served(df, **options).select(*[field("doc", c) for c in df.columns if c.lower() not in results], *results)
+
+
 def mixed_documents(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The mix as documents: a row for each whole pass over a text, and one for a part taken of it.
     Texts stay where they are unless more rows are taken than may be broadcast; then they are joined once."""
     own = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{source}`"].alias("source"), n_words(docs[f"`{text}`"]).alias("size"), F.xxhash64(docs[f"`{text}`"]).alias("tie"), own_columns(docs, "whole"))
-    mixed = mix_sources(own, **options).where(F.col("taken") > 0).select("doc.whole", "size", "taken")
+    mixed = _served(own, **options).where(F.col("taken") > 0).select("doc.whole", "size", "taken")
     whole, part = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
     rows = mixed.withColumns({"full": whole, "part": part, "pass": F.explode(F.sequence(F.lit(1).cast("long"), whole + F.when(part > 0, 1).otherwise(0)))})
     old = F.col(field("whole", text))
@@ -144,7 +150,7 @@ def mixed_documents(docs: DataFrame, source: str = "source", text: str = "text",
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of every row of documents: all words of all sources as budget, weights 5, 2, 1 in turn."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
-    return mix_sources(docs).select("doc.doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP10_TARGETS_SQL = r"""

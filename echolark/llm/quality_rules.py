@@ -9,7 +9,9 @@ judging costs no Python beyond the statistics.
 Defined cases: a null or empty text has no words and fails the base rule; repeated rows are judged
 alike; other columns pass through and columns named like the results are replaced; an empty table
 gives an empty result. Without labelled rows of both kinds the list is empty and only the base rule
-rejects. Training reads at most MAX_TRAINING labelled rows, taken in order of a hash of their id.
+rejects. Texts of any length are measured whole; ties of gain go to the first statistic and cut.
+Training reads at most MAX_TRAINING labelled rows, taken in order of a hash of their id, and gives
+max_rules rules of max_conditions conditions at most: 12 of 3 by default, a bound of the model, not of the rows.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolark.core import small_batches
+from echolark.core import small_batches, spare
 from echolark.llm.textbytes import SPACE, lines_of, per_doc, run_hashes, span_counts, texts_of, windows, words_of
 
 MAX_TRAINING = 20_000
@@ -82,18 +84,29 @@ def _stats(column: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(len(COUNTS))], names=COUNTS)
 
 
-def text_stats(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with COUNTS and base_failed."""
+def statistics(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+    """df with COUNTS as one struct, and the name of that column, which df does not have."""
     small_batches(df.sparkSession)
     stats = F.arrow_udf(_stats, "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">")
-    own = df.withColumn("_stats", stats(F.col(text)))
-    out = own.withColumns({c: F.col(f"_stats.{c}") for c in COUNTS}).drop("_stats")
-    return out.withColumn("base_failed", (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words")))
+    name = spare(df, "stats")
+    return df.withColumn(name, stats(F.col(f"`{text}`"))), name
+
+
+def base_failed(at: str = "") -> Column:
+    """Too few words, or too many in windows that repeat."""
+    n = F.col(f"{at}n_words")
+    return (n < 10) | (F.lit(100) * F.col(f"{at}n_repeat_words") > F.lit(20) * n)
 
 
-def ratio(name: str) -> Column:
+def text_stats(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with COUNTS and base_failed."""
+    own, name = statistics(df, text)
+    return own.withColumns({c: F.col(f"{name}.{c}") for c in COUNTS}).drop(name).withColumn("base_failed", base_failed())
+
+
+def ratio(name: str, at: str = "") -> Column:
     top, bottom = RATIOS[name]
-    return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(F.lit(0.0))
+    return F.when(F.col(at + bottom) > 0, F.col(at + top) / F.col(at + bottom)).otherwise(F.lit(0.0))
 
 
 @dataclass(frozen=True)
@@ -106,8 +119,8 @@ class Condition:
         v = x[:, names.index(self.name)]
         return v >= self.threshold if self.above else v <= self.threshold
 
-    def column(self) -> Column:
-        v = ratio(self.name)
+    def column(self, at: str = "") -> Column:
+        v = ratio(self.name, at)
         return v >= F.lit(self.threshold) if self.above else v <= F.lit(self.threshold)
 
 
@@ -170,18 +183,28 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, names: list[str], max_rules: int
         whole = _covered(rule, x[left], names)
         if precision < min_precision or cover < min_cover or bad[left][whole].mean() < min_precision:
             break
-        rules.append(rule)
+        rules.append(simplified(rule))
         left &= ~_covered(rule, x, names)
     return rules
 
 
-def as_condition(rules: list[Rule]) -> Column:
+def simplified(rule: Rule) -> Rule:
+    """The rule without conditions that a tighter one of the same statistic and side implies."""
+    tightest: dict[tuple[str, bool], Condition] = {}
+    for c in rule:
+        old = tightest.get((c.name, c.above))
+        if old is None or (c.threshold > old.threshold) == c.above:
+            tightest[c.name, c.above] = c
+    return tuple(c for c in rule if tightest[c.name, c.above] == c)
+
+
+def as_condition(rules: list[Rule], at: str = "") -> Column:
     """The ordered list as one conditional expression: true where a rule rejects."""
     chain = None
     for rule in rules:
-        test = rule[0].column()
+        test = rule[0].column(at)
         for c in rule[1:]:
-            test = test & c.column()
+            test = test & c.column(at)
         chain = F.when(test, F.lit(True)) if chain is None else chain.when(test, F.lit(True))
     return F.lit(False) if chain is None else chain.otherwise(F.lit(False))
 
@@ -202,6 +225,13 @@ def judged(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None
     return text_stats(docs).withColumn("kept", ~F.col("base_failed") & ~as_condition(rules))
 
 
+def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs that the base rule and the learned list keep, with all their own columns and no others."""
+    rules = fit_rules(docs, labels)
+    own, name = statistics(docs)
+    return own.where(~base_failed(f"{name}.") & ~as_condition(rules, f"{name}.")).drop(name)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every whole text of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

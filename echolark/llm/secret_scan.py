@@ -14,7 +14,10 @@ so the tags are those of the whole sequence (`Field.tags`).
 
 Defined cases: null counts as empty and has no spans; a pattern's matches are leftmost and do not
 overlap, and a match that is too short is dropped with the text it covers; without any base span in
-the sample the field adds nothing; repeated rows are scanned alike; other columns pass through.
+the sample the field adds nothing; repeated rows and rows of null ids are scanned alike; texts of any
+length are decoded whole; other columns pass through, those named like a result give way to it; an
+empty table gives an empty result. Training, and only that, reads MAX_REGIONS regions of
+MAX_REGION_TOKENS tokens of a document at most.
 """
 
 from __future__ import annotations
@@ -30,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolark.core import small_batches
+from echolark.core import small_batches, spare
 
 SAMPLE_DOCS = 2_000
-MAX_REGION_TOKENS = 120
+MAX_REGIONS, MAX_REGION_TOKENS = 40, 120
 REACH = 100
 PLAIN = 20
 KINDS = ("assign", "access", "hex", "crf")
@@ -328,7 +331,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     small_batches(docs.sparkSession)
     chosen = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64(F.lit(29), "doc_id")).limit(sample_docs)
     kind = pa.list_(pa.struct([("tokens", pa.list_(pa.string())), ("tags", pa.list_(pa.int32()))]))
-    mark = F.arrow_udf(lambda c: pa.array([[{"tokens": a, "tags": b} for a, b in tagged(x.as_py() or "")][:40] for x in c], kind), "array<struct<tokens:array<string>,tags:array<int>>>")
+    mark = F.arrow_udf(lambda c: pa.array([[{"tokens": a, "tags": b} for a, b in tagged(x.as_py() or "")][:MAX_REGIONS] for x in c], kind), "array<struct<tokens:array<string>,tags:array<int>>>")
     of_file = F.arrow_udf(lambda c: pa.array([file_features(x.as_py() or "") for x in c], pa.list_(pa.string())), "array<string>")
     some = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", mark("text").alias("regions"), of_file("text").alias("file"))  # a filter on regions would be run below the join, on all documents
     rows = sorted(some.collect(), key=lambda r: r.doc_id)
@@ -360,7 +363,8 @@ def scanned(docs: DataFrame, field: Field) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     found: Column = F.arrow_udf(find, "struct<n_assign:bigint,n_access:bigint,n_hex:bigint,base_sha256:string,spans:string>")(F.col("text"))
-    return docs.withColumn("_f", found).withColumns({k: F.col(f"_f.{k}") for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")}).drop("_f")
+    at = spare(docs, "found")
+    return docs.withColumn(at, found).withColumns({k: F.col(f"{at}.{k}") for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")}).drop(at)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

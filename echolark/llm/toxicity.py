@@ -14,8 +14,9 @@ MAX_TRAINING of them in order of a hash of their id. Label, language, source and
 
 Defined cases: null, empty and word-free texts have no hits and get the score of such texts; without
 toxic labels the lexicon is empty and every score is the prior; rows that repeat are scored alike;
-other columns pass through and columns named like the results are replaced; an empty table gives an
-empty result.
+texts of any length are read whole; other columns pass through and columns named like the results are
+replaced; an empty table gives an empty result. The model has MAX_TERMS terms and stems each and
+MAX_EXCEPTIONS exceptions at most, the most frequent ones; words of 3 to 40 letters can be terms.
 """
 
 from __future__ import annotations

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echolark.core import spare
+
 MAX_RULES = 1_000_000
 
 def host_of(url: Column) -> Column:
@@ -93,8 +95,9 @@ def filter_urls(df: DataFrame, rules: Sequence[tuple[str, str, str]], url: str =
         return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], names=["rule", "verdict"])
 
     parsed = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    judged = parsed.withColumn("_judged", verdicts("host", "path"))
-    return judged.withColumns({"rule": F.col("_judged.rule"), "verdict": F.col("_judged.verdict")}).drop("_judged")
+    at = spare(parsed, "judged")
+    judged = parsed.withColumn(at, verdicts("host", "path"))
+    return judged.withColumns({"rule": F.col(f"{at}.rule"), "verdict": F.col(f"{at}.verdict")}).drop(at)
 
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
