@@ -29,7 +29,7 @@ def _stage(f):
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the learned list keep."""
-    return quality_rules.judged(docs, read_table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return quality_rules.kept_documents(docs, read_table(spark, sf_dir, "labels"))
 
 
 @_stage
