@@ -4,7 +4,8 @@ A string of SPAN bytes is repeated if it also starts earlier: in a document of s
 in its own. Every window of SPAN bytes contains an anchor, the least hashed GRAM bytes in it, so equal
 windows have their anchor at the same offset, and a corpus-wide suffix array splits into independent
 ones by anchor. The windows of one anchor place form a run; three steps decide each run:
-1. Runs whose whole bytes equal an earlier run's are repeated throughout (first within a batch, then
+1. Runs whose whole bytes equal an earlier run's, by two 64-bit hashes (of the anchor and of all bytes;
+   the bytes themselves are not compared), are repeated throughout (first within a batch, then
    after one shuffle of (anchor, hash, id, place); anchors frequent in a bounded sample of documents
    are salted by run hash, which moves rows but changes no result).
 2. The first run of each kind stays open where its anchor has runs of another kind. The bytes of open
@@ -14,7 +15,7 @@ ones by anchor. The windows of one anchor place form a run; three steps decide e
 
 Defined cases: null counts as empty and keeps the empty string's hash; matches never cross documents;
 rows that repeat an id are ordered by their text's hash and place in the table, as are null ids, which
-come first; other columns do not enter; an empty table gives an empty result.
+come first, as ids that are no whole numbers are by their own order; other columns do not enter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -117,7 +118,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
     """(doc, doc_id, text) with doc unique and ordered like doc_id; ids serve themselves if they can."""
     n, different = docs.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
     text = F.coalesce("text", F.lit("")).alias("text")
-    if n == different:
+    if n == different and docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
         return docs.select(F.col("doc_id").cast("long").alias("doc"), "doc_id", text)
     ordered = docs.select("doc_id", text).orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return staged(ordered.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"))
