@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,3 +21,10 @@ def unit_interval(text: Column) -> Column:
 def variant(text: Column, percent: float) -> Column:
     """candidate for about `percent` of all texts, else control."""
     return F.when(hash_prefix(text) % 10000 < int(percent * 100), "candidate").otherwise("control")
+
+
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """Keyed digest (HMAC, SHA-256) of a text, as lower-case hex; made of two plain digests."""
+    key = hashlib.sha256(key).digest() if len(key) > 64 else key
+    inner, outer = (F.lit(bytearray(b ^ pad for b in key.ljust(64, b"\0"))) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)

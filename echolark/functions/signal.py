@@ -88,24 +88,31 @@ def mfcc_temporal(pcm: bytes) -> np.ndarray:
     return np.hstack([c, d, delta(d)]).astype(np.float32)
 
 
-def dtw_distance(a: np.ndarray, b: np.ndarray, band: float = 0.3) -> float:
-    """Mean cosine cost along the cheapest banded path; among equal costs the shorter path."""
+def dtw_distances(a: np.ndarray, b: np.ndarray, band: float = 0.3) -> np.ndarray:
+    """Of each pair of a (pairs, n, d) and b (pairs, m, d), the mean cosine cost along the cheapest path
+    within the band; among equal costs the shorter path. All pairs advance cell by cell together."""
     a, b = np.asarray(a, float), np.asarray(b, float)
-    n, m = len(a), len(b)
-    norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
-    plain = np.sqrt(((a[:, None] - b) ** 2).sum(axis=2) / a.shape[1])
-    cost = np.where(norms > 0, 1 - (a @ b.T) / np.where(norms > 0, norms, 1), plain)
+    pairs, n, m = len(a), a.shape[1], b.shape[1]
+    norms = np.linalg.norm(a, axis=2)[:, :, None] * np.linalg.norm(b, axis=2)[:, None, :]
+    plain = np.sqrt(((a[:, :, None] - b[:, None]) ** 2).sum(axis=3) / a.shape[2])
+    cost = np.where(norms > 0, 1 - (a @ b.transpose(0, 2, 1)) / np.where(norms > 0, norms, 1), plain)
     width = max(abs(n - m), int(band * max(n, m)), 2)
-    previous = [(0.0, 0)] + [(np.inf, 0)] * m
+    total, steps = np.full((n + 1, m + 1, pairs), np.inf), np.zeros((n + 1, m + 1, pairs), int)
+    total[0, 0] = 0
     for i in range(1, n + 1):
-        center, row = round(i * m / n), [(np.inf, 0)] * (m + 1)
+        center = round(i * m / n)
         for j in range(max(1, center - width), min(m, center + width) + 1):
-            total, length = min(previous[j], row[j - 1], previous[j - 1])
-            row[j] = (total + cost[i - 1, j - 1], length + 1)
-        previous = row
-    if not np.isfinite(previous[m][0]):
+            ways = total[[i - 1, i, i - 1], [j, j - 1, j - 1]]
+            least = ways.min(axis=0)
+            lengths = np.where(ways == least, steps[[i - 1, i, i - 1], [j, j - 1, j - 1]], n + m)
+            total[i, j], steps[i, j] = least + cost[:, i - 1, j - 1], lengths.min(axis=0) + 1
+    if not np.isfinite(total[n, m]).all():
         raise ValueError("the band leaves no path")
-    return previous[m][0] / previous[m][1]
+    return total[n, m] / steps[n, m]
+
+
+def dtw_distance(a: np.ndarray, b: np.ndarray, band: float = 0.3) -> float:
+    return float(dtw_distances(np.asarray(a)[None], np.asarray(b)[None], band)[0])
 
 
 def subsequence_dtw(prototype: np.ndarray, sequence: np.ndarray, ratios: tuple[float, ...] = (0.75, 1.0, 1.25)) -> float:
@@ -115,8 +122,9 @@ def subsequence_dtw(prototype: np.ndarray, sequence: np.ndarray, ratios: tuple[f
     for ratio in ratios:
         size = min(n, max(3, round(ratio * len(prototype))))
         starts = np.append(np.arange(0, n - size, max(1, size // 5)), n - size)
-        best = min(best, *(dtw_distance(sequence[k : k + size], prototype, 1.0) for k in starts))
-    return best
+        windows = np.stack([sequence[k : k + size] for k in starts])
+        best = min(best, dtw_distances(windows, np.broadcast_to(prototype, (len(windows), *np.shape(prototype))), 1.0).min())
+    return float(best)
 
 
 def spread_rows(distance: np.ndarray, count: int) -> np.ndarray:

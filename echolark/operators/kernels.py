@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echolark.core import read_table
-from echolark.functions.signal import dtw_distance, medoids, mfcc_summary, mfcc_temporal, subsequence_dtw
+from echolark.functions.signal import dtw_distances, medoids, mfcc_summary, mfcc_temporal, subsequence_dtw
 from echolark.plans.domain import recordings
 
 FRAME_DIMS = 4
 CANDIDATES = 36
+PAIRS = 2_000
 
 
 def temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,19 @@ def _paired(f):
     return F.pandas_udf(run, "double")
 
 
+def _warped(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Warped distances of a batch of pairs, those of one shape together, PAIRS at a time."""
+    left, right, out = [_matrix(x) for x in a], [_matrix(x) for x in b], np.zeros(len(a))
+    shapes: dict[tuple, list[int]] = {}
+    for k, (x, y) in enumerate(zip(left, right, strict=True)):
+        shapes.setdefault((x.shape, y.shape), []).append(k)
+    for at in shapes.values():
+        for k in range(0, len(at), PAIRS):
+            part = at[k : k + PAIRS]
+            out[part] = dtw_distances(np.stack([left[i] for i in part]), np.stack([right[i] for i in part]))
+    return pd.Series(out)
+
+
 def medoid_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to four medoids of each word by warped distance, among CANDIDATES rows evenly spaced over the ids at most."""
     t = temporal(spark, sf_dir).where("split = 'train'")
@@ -45,11 +59,10 @@ def medoid_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("recording_id").reset_index(drop=True)
-        frames = [_matrix(x) for x in g.embedding]
         d = np.zeros((len(g), len(g)))
-        for i in range(len(g)):
-            for j in range(i):
-                d[i, j] = d[j, i] = dtw_distance(frames[i], frames[j])
+        left, right = np.triu_indices(len(g), 1)
+        if len(left):
+            d[left, right] = d[right, left] = _warped(g.embedding[left], g.embedding[right])
         at = medoids(d)
         return pd.DataFrame({"word": g.word.iloc[0], "proto_idx": range(len(at)), "recording_id": g.recording_id[at].to_numpy(), "embedding": [g.embedding[k] for k in at]})
 
@@ -60,36 +73,39 @@ def dtw_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest word of each validation recording by warped distance to any of its medoids."""
     p = medoid_prototypes(spark, sf_dir).select(F.col("word").alias("candidate"), F.col("embedding").alias("prototype"))
     v = temporal(spark, sf_dir).where("split = 'validation'").select("recording_id", "word", "embedding")
-    d = v.crossJoin(F.broadcast(p)).withColumn("d", _paired(dtw_distance)("embedding", "prototype"))
+    d = v.crossJoin(F.broadcast(p)).withColumn("d", F.pandas_udf(_warped, "double")("embedding", "prototype"))
     best = d.groupBy("recording_id", "word", "candidate").agg(F.min("d").alias("d")).groupBy("recording_id", "word").agg(F.min(F.struct("d", "candidate")).alias("b"))
     return best.select("recording_id", "word", F.col("b.candidate").alias("nearest"), F.round("b.d", 6).alias("distance"))
 
 
 def subsequence_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each test recording's least distance to the middle half of its word's first medoid."""
-    p = medoid_prototypes(spark, sf_dir).where("proto_idx = 0").select("word", F.slice("embedding", 17, 32).alias("prototype"))
+    """Each test recording's least distance to the middle half of any of its word's medoids."""
+    p = medoid_prototypes(spark, sf_dir).select("word", F.slice("embedding", 17, 32).alias("prototype"))
     v = temporal(spark, sf_dir).where("split = 'test'").select("recording_id", "word", "embedding")
-    return v.join(F.broadcast(p), "word").select("recording_id", "word", F.round(_paired(subsequence_dtw)("prototype", "embedding"), 6).alias("distance"))
+    d = v.join(F.broadcast(p), "word").withColumn("d", _paired(subsequence_dtw)("prototype", "embedding"))
+    return d.groupBy("recording_id", "word").agg(F.round(F.min("d"), 6).alias("distance"))
 
 
-def tone(vec_id: int) -> bytes:
-    """A tone of a recording's own pitch, a fifth of a second at 16 kHz."""
-    t = np.arange(3200) / 16_000
-    x = 0.4 * np.sin(2 * np.pi * (180 + vec_id % 400) * t) + 0.1 * np.sin(2 * np.pi * (720 + vec_id % 50) * t)
-    return (x * 32767).astype("<i2").tobytes()
+def audio(values: list[float]) -> bytes:
+    """A row's values as 16 kHz samples: each gives a stretch of its own length, loudness and pitch."""
+    v = np.nan_to_num(np.asarray(values, float))
+    sizes = 40 + (np.abs(v) * 4_000).astype(int) % 160
+    loud = np.repeat(np.clip(np.abs(v) * 2, 0, 1), sizes)
+    phase = np.cumsum(np.repeat(2 * np.pi * (200 + 1_500 * np.abs(v) % 1_800) / 16_000, sizes))
+    return (loud * np.sin(phase) * 32767).astype("<i2").tobytes()
 
 
 def mfcc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summary features and frame count of a tone for each recording."""
+    """Summary features and frame count of every recording's audio; silent ones have none."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ids = b.column(0).to_pylist()
-            pcm = [tone(i) for i in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([mfcc_summary(x) for x in pcm], pa.list_(pa.float32())), pa.array([len(mfcc_temporal(x)) for x in pcm], pa.int32())], names=["recording_id", "feature", "frames"])
+            pcm = [audio(x) for x in b.column(1).to_pylist()]
+            loud = [len(x) > 0 and np.frombuffer(x, "<i2").astype(float).std() > 1 for x in pcm]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([mfcc_summary(x) if ok else None for x, ok in zip(pcm, loud, strict=True)], pa.list_(pa.float32())), pa.array([len(mfcc_temporal(x)) if ok else 0 for x, ok in zip(pcm, loud, strict=True)], pa.int32())], names=["recording_id", "feature", "frames"])
 
-    ids = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("recording_id"))
-    return ids.mapInArrow(batches, "recording_id long, feature array<float>, frames int")
+    rows = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("recording_id"), "embedding")
+    return rows.mapInArrow(batches, "recording_id long, feature array<float>, frames int")
 
 
 QUERIES = {f.__name__: f for f in (medoid_prototypes, dtw_nearest, subsequence_nearest, mfcc_features)}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from echolark.core import read_table, staged
 from echolark.functions.cleaning import REPORT, clean_pcm
 from echolark.operators.calibration import _PH, _phones
-from echolark.operators.kernels import tone
+from echolark.operators.kernels import audio
 from echolark.operators.scoring import THRESHOLDS_SQL, thresholds
 from echolark.plans.domain import distances
 
@@ -57,16 +57,16 @@ def acoustic_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of each recording's tone after cleaning; the audio itself stays out of the result."""
+    """Quality of each recording's audio after cleaning; the audio itself stays out of the result."""
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            found = pd.DataFrame([clean_pcm(bytes(3200) + tone(k) + bytes(3200)) for k in b.recording_id], columns=names)
+            found = pd.DataFrame([clean_pcm(bytes(3200) + audio(x) + bytes(3200)) for x in b.embedding], columns=names)
             yield found.drop(columns="pcm").assign(recording_id=b.recording_id.to_numpy())
 
     names = [c.split()[0] for c in REPORT.split(", ")]
-    ids = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("recording_id"))
-    return ids.mapInPandas(batches, REPORT.removesuffix(", pcm binary") + ", recording_id long")
+    rows = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("recording_id"), "embedding")
+    return rows.mapInPandas(batches, REPORT.removesuffix(", pcm binary") + ", recording_id long")
 
 
 def fit_forest(rows: DataFrame, features: list[str], label: str, trees: int = TREES, depth: int = DEPTH):

@@ -10,7 +10,9 @@ from echolark.plans.domain import DIST_SQL, LOGS_SQL, REC_SQL, decision_logs, di
 
 
 def four_state(distance: Column, accept: Column, reject: Column, retry: Column) -> Column:
-    """RETRY, then invalid, then at most accept, then at least reject; else undecidable."""
+    """RETRY, then invalid, then at most accept, then at least reject; else undecidable. Accept has to
+    lie below reject."""
+    accept = F.when(accept < reject, accept).otherwise(F.raise_error(F.lit("accept is not below reject")).cast("double"))
     invalid = distance.isNull() | F.isnan(distance) | (distance < 0) | (F.abs(distance) == float("inf"))
     return F.when(retry, "RETRY").when(invalid, "UNDECIDABLE").when(distance <= accept, "CORRECT").when(distance >= reject, "INCORRECT").otherwise("UNDECIDABLE")
 
@@ -56,8 +58,10 @@ def contrastive_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = margins(d)
     least = m.where("split = 'validation'").groupBy("word").agg(F.round(F.greatest(F.lit(0.01), F.percentile("margin", F.lit(0.1))), 9).alias("required"))
     j = m.join(F.broadcast(thresholds(d, 0.02).withColumnRenamed("candidate", "word")), "word").join(F.broadcast(least), "word")
-    status = F.when((F.col("own") <= F.col("accept")) & (F.col("margin") >= F.col("required")), "CORRECT").when((F.col("own") >= F.col("reject")) | (F.col("margin") <= -F.col("required")), "INCORRECT").otherwise("UNDECIDABLE")
-    reason = F.when(status == "CORRECT", "WITHIN_ACCEPT").when(F.col("own") >= F.col("reject"), "DISTANCE").when(status == "INCORRECT", "MARGIN").otherwise("AMBIGUOUS")
+    wrong = lambda c: F.col(c).isNull() | F.isnan(c) | (F.col(c) < 0) | (F.abs(c) == float("inf"))
+    invalid = wrong("own") | wrong("other")
+    status = F.when(invalid, "UNDECIDABLE").when((F.col("own") <= F.col("accept")) & (F.col("margin") >= F.col("required")), "CORRECT").when((F.col("own") >= F.col("reject")) | (F.col("margin") <= -F.col("required")), "INCORRECT").otherwise("UNDECIDABLE")
+    reason = F.when(invalid, "INVALID").when(status == "CORRECT", "WITHIN_ACCEPT").when(F.col("own") >= F.col("reject"), "DISTANCE").when(status == "INCORRECT", "MARGIN").otherwise("AMBIGUOUS")
     return j.select("recording_id", "word", "competitor", F.round("margin", 6).alias("margin"), status.alias("status"), reason.alias("reason"))
 
 

@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolark.functions.hashing import unit_interval
+from echolark.functions.hashing import hmac_sha256, unit_interval
 from echolark.functions.signal import decode_wav
 
 MOST_BYTES, MOST_RATIO = 20 << 20, 200
+LEAST_SALT = 16
 MEMBERS = "archive string, member string, word string, speaker string, source_hash string, pcm binary, problem string"
 
 
@@ -47,14 +48,17 @@ def _member(z: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple[str | None, byte
         return None, None, f"unreadable: {e}"
 
 
-def read_archives(spark: SparkSession, path: str, salt: str = "", seed: str = "seed") -> DataFrame:
+def read_archives(spark: SparkSession, path: str, salt: str, seed: str = "seed") -> DataFrame:
     """One row a WAV member `speaker/word.wav` of the archives under `path`, any path Spark can read.
 
     Members that fail a check, and archives that are none, keep their row with `problem` set and no
-    audio. Speakers are kept as salted digests only; the split depends on the digest, so no speaker
-    is in two. An archive has to fit in a task, as binary files do; members are unpacked one by one.
+    audio. Speakers, in lower case, are kept as digests keyed by `salt` (of LEAST_SALT bytes or more)
+    only; the split depends on the digest, so no speaker is in two. An archive has to fit in a task, as binary files do; members are unpacked one by one.
     """
 
+    if len(salt.encode()) < LEAST_SALT:
+        raise ValueError(f"the salt needs {LEAST_SALT} bytes")
+
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch.path, batch.content, strict=True):
@@ -73,6 +77,6 @@ def read_archives(spark: SparkSession, path: str, salt: str = "", seed: str = "s
 
     columns = [c.split()[0] for c in MEMBERS.split(", ")]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    found = files.mapInPandas(unpack, MEMBERS).withColumn("speaker_hash", F.sha2(F.concat(F.lit(salt), "speaker"), 256)).drop("speaker")
+    found = files.mapInPandas(unpack, MEMBERS).withColumn("speaker_hash", hmac_sha256(salt.encode(), F.lower("speaker"))).drop("speaker")
     u = unit_interval(F.concat(F.lit(seed + ":"), F.col("speaker_hash")))
     return found.withColumn("split", F.when(u < 0.8, "train").when(u < 0.9, "validation").when(u >= 0.9, "test"))

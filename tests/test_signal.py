@@ -118,3 +118,25 @@ def test_medoids_are_central():
     d = np.abs(np.subtract.outer(x, x))
     assert sorted(s.medoids(d, 3)) == [3, 9, 12]
     assert s.medoids(d[:1, :1]) == [0]
+
+
+def warped(a, b, band):
+    """The recurrence written out: (cost, steps) of the best path to each cell."""
+    n, m = len(a), len(b)
+    cost = [[1 - x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) for y in b] for x in a]
+    width = max(abs(n - m), int(band * max(n, m)), 2)
+    at = {(0, 0): (0.0, 0)}
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            ways = [at[k] for k in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if k in at]
+            if ways and abs(j - round(i * m / n)) <= width:
+                total, steps = min(ways)
+                at[i, j] = (total + cost[i - 1][j - 1], steps + 1)
+    return at[n, m][0] / at[n, m][1]
+
+
+def test_many_pairs_at_once_are_warped_as_one_by_one():
+    rng = np.random.default_rng(2)
+    for n, m in ((5, 5), (9, 14), (16, 7)):
+        a, b = rng.normal(size=(6, n, 3)), rng.normal(size=(6, m, 3))
+        assert s.dtw_distances(a, b, 0.3) == pytest.approx([warped(x, y, 0.3) for x, y in zip(a, b)])

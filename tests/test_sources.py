@@ -1,5 +1,9 @@
 """Archive ingestion and cleaning on small made-up recordings."""
 
+import hashlib
+import hmac
+import pytest
+from pyspark.sql import functions as F
 import io
 import wave
 import zipfile
@@ -33,7 +37,7 @@ def test_archives(spark, tmp_path):
         z.writestr("alone.wav", wav(voice()))
         z.writestr("bob/bomb.wav", bytes(1 << 20))
     (tmp_path / "b.zip").write_bytes(b"none")
-    rows = read_archives(spark, str(tmp_path), "salt").collect()
+    rows = read_archives(spark, str(tmp_path), "a salt of sixteen bytes").collect()
     good = [r for r in rows if r.problem is None]
     assert [(r.word, bytes(r.pcm)) for r in good] == [("mela", voice())]
     assert good[0].split in ("train", "validation", "test") and "ann" not in good[0].speaker_hash
@@ -74,3 +78,13 @@ def test_clean_pcm():
     assert clean_pcm(None)[0] == clean_pcm(b"")[0] == clean_pcm(bytes(9600))[0] == "REJECT"
     loud = (rng.normal(size=4800) * 1500).astype("<i2").tobytes()
     assert clean_pcm(loud + voice(level=0.5) + loud)[6]
+
+
+def test_speakers_are_keyed_digests(spark):
+    from echolark.functions.hashing import hmac_sha256
+
+    for key in (b"k" * 16, b"long" * 40):
+        df = spark.createDataFrame([("ann",), ("ünal",)], "s string")
+        assert [r[0] for r in df.select(hmac_sha256(key, F.col("s"))).collect()] == [hmac.new(key, s.encode(), hashlib.sha256).hexdigest() for s in ("ann", "ünal")]
+    with pytest.raises(ValueError):
+        read_archives(spark, "/nowhere", "short")
