@@ -164,6 +164,7 @@ _RAW = """WITH r AS (SELECT event_id, user_id AS session_id, event_id % 50 AS ba
 ORACLE_SQL = {
     "frame_parse": _RAW + "SELECT event_id, CASE WHEN fault IS NULL THEN CAST(n AS INT) END AS sequence, fault FROM p",
     "assemble_window": _RAW + ", g AS (SELECT session_id, (n - 1) // 8 AS \"window\", count(*) AS frames, max(n) - min(n) + 1 = count(*) AS contiguous, string_agg(pcm, '' ORDER BY n) AS whole FROM p WHERE fault IS NULL GROUP BY 1, 2) SELECT session_id, \"window\", frames, contiguous, CASE WHEN contiguous THEN sha256(whole) END AS payload_sha256 FROM g",
+    "pcm_split": "WITH d AS (SELECT doc_id AS key, encode(text) AS b, unnest(range(octet_length(encode(text)) // 1280)) AS k FROM documents) SELECT key, CAST(k AS INT) AS frame, sha256(b[k * 1280 + 1:(k + 1) * 1280]) AS frame_sha256 FROM d",
     "training_lines": "SELECT doc_id, lang, CAST(n_chars AS DOUBLE) AS f0, CAST(quality AS DOUBLE) AS f1, toxic = 1 AS label FROM documents JOIN labels USING (doc_id)",
     "upsert_features": "SELECT user_id AS session_id, event_type, max(event_id) AS version, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2",
     "append_attempts": LOGS_SQL + " SELECT substr(sha256(session_id || '|' || attempt_id), 1, 32) AS id, attempt_id, session_id, status FROM lg",
