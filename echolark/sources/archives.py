@@ -80,3 +80,21 @@ def read_archives(spark: SparkSession, path: str, salt: str, seed: str = "seed")
     found = files.mapInPandas(unpack, MEMBERS).withColumn("speaker_hash", hmac_sha256(salt.encode(), F.lower("speaker"))).drop("speaker")
     u = unit_interval(F.concat(F.lit(seed + ":"), F.col("speaker_hash")))
     return found.withColumn("split", F.when(u < 0.8, "train").when(u < 0.9, "validation").when(u >= 0.9, "test"))
+
+
+def read_wavs(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, source_hash, pcm, problem) of the WAV files under all paths; files that are no mono 16-bit
+    16 kHz audio keep their row without it."""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch.path, batch.content, strict=True):
+                try:
+                    rows.append((name, hashlib.sha256(content).hexdigest(), decode_wav(content), None))
+                except (ValueError, EOFError, wave.Error) as e:
+                    rows.append((name, None, None, f"unreadable: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "source_hash", "pcm", "problem"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").option("recursiveFileLookup", "true").load(list(paths)).select("path", "content")
+    return files.mapInPandas(decode, "path string, source_hash string, pcm binary, problem string")

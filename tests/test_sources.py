@@ -88,3 +88,24 @@ def test_speakers_are_keyed_digests(spark):
         assert [r[0] for r in df.select(hmac_sha256(key, F.col("s"))).collect()] == [hmac.new(key, s.encode(), hashlib.sha256).hexdigest() for s in ("ann", "ünal")]
     with pytest.raises(ValueError):
         read_archives(spark, "/nowhere", "short")
+
+
+def test_loose_files_of_several_folders(spark, tmp_path):
+    import io
+    import wave
+
+    from echolark.sources.archives import read_wavs
+
+    def wav(rate, n):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1), w.setsampwidth(2), w.setframerate(rate)
+            w.writeframes(b"\1\0" * n)
+        return out.getvalue()
+
+    for name, data in (("a/x.wav", wav(16_000, 5)), ("b/c/y.WAV", wav(16_000, 7)), ("b/z.wav", wav(8_000, 3)), ("b/n.txt", b"text"), ("a/broken.wav", b"no audio")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    rows = {r.path.rsplit("/", 1)[1]: r for r in read_wavs(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()}
+    assert set(rows) == {"x.wav", "y.WAV", "z.wav", "broken.wav"}
+    assert (len(rows["x.wav"].pcm), len(rows["y.WAV"].pcm)) == (10, 14) and rows["z.wav"].pcm is None and rows["broken.wav"].problem
