@@ -66,7 +66,7 @@ def source_targets(sized: DataFrame, weights: Sequence[float], budget: float | N
     return ranked.select("source", "rank", "source_size", "n", F.least(F.col("cap").cast("double"), F.col("weight") * level).alias("target"))
 
 
-def queued(rows: DataFrame, sources: DataFrame, ranges: int, max_epochs: int) -> DataFrame:
+def queued(rows: DataFrame, sources: DataFrame, ranges: int) -> DataFrame:
     """rows (row, doc_id, source, size, key) of size > 0 and of a source with a target, with the words
     of their source before them in the order of their keys."""
     of_source = broadcast_if_small(sources.where("target > 0").select(F.col("source").alias("name"), "rank", "source_size", "target"), BROADCAST_SOURCES)
@@ -120,7 +120,7 @@ def _served(df: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float |
         sources = staged(source_targets(rows, weights, budget, max_epochs), keep=True)
         n, kinds, asked = sources.agg(F.sum("n"), F.count(F.lit(1)), F.sum("target")).first()
         ranges = max(1, isqrt(n or 0))
-        queue = queued(rows.drop("doc"), sources, ranges, max_epochs)
+        queue = queued(rows.drop("doc"), sources, ranges)
         taken = staged(until_budget(slices(queue, kinds, max_epochs), round(asked or 0), ranges), keep=True)
     of_source = broadcast_if_small(sources.select(F.col("source").alias("name"), "source_size", "target"), BROADCAST_SOURCES)
     named = rows.select("doc", "row", "source", "size").join(of_source, F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
