@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from echolark.llm import byte_bpe, collocations, exact_dedup, mixing, near_dedup, pii_surrogates, quality_rules, secret_scan, substring_dedup, toxicity, url_filter
+from echolark.llm import byte_bpe, collocations, exact_dedup, mixing, near_dedup, pii_surrogates, prefix_trie, quality_rules, secret_scan, substring_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_source_mixing": mixing.op10_source_mixing,
     "op11_collocations": collocations.op11_collocations,
+    "op12_token_counts": token_counts.op12_token_counts,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
-ORACLE_SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL, "op9_url_filter": url_filter.OP9_SQL, "op11_collocations": collocations.OP11_SQL}
+ORACLE_SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL, "op9_url_filter": url_filter.OP9_SQL, "op11_collocations": collocations.OP11_SQL, "op13_prefix_trie": prefix_trie.OP13_SQL}
