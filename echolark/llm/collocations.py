@@ -217,7 +217,7 @@ def phrase_counts(docs: DataFrame, least: int) -> DataFrame:
     """(lang, phrase, f), staged: phrases of 1 to LONGEST words found `least` times or more, and under
     the empty phrase the number of words of each language."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, "2m")
     texts = docs.select(F.coalesce(docs["lang"], F.lit("und")).alias("lang"), docs["text"].alias("text"))
     with scratch(spark):
         sums = texts.mapInArrow(hashed_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
