@@ -37,16 +37,25 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    Inside scratch() the table goes when the block ends; with `keep` it stays for the block around it.
+    Inside scratch() the table goes when the block ends; with `keep` it stays for the block around it,
+    and outside of any block until the application ends.
     """
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    holders = _held.get()
-    if keep:
-        holders = holders[:-1]
+    hold(df.sparkSession, path, keep)
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hold(spark: SparkSession, path: str, keep: bool = False) -> str:
+    """Makes a folder that goes with the block at hand (with `keep`, with the one around it), else with the application."""
+    holders = _held.get()[:-1] if keep else _held.get()
     if holders:
         holders[-1].append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
 
 
 @contextmanager

@@ -1,8 +1,8 @@
 """Every registered query of the acoustic and decision engine, with its SQL twin."""
 
 from echolark.operators import calibration, kernels, learning, phonetics, prompts, prototyping, relational, scoring, sequences, store
-from echolark.streaming import sessions, stateful
+from echolark.streaming import live, sessions, stateful
 
-MODULES = (scoring, relational, sequences, calibration, kernels, learning, phonetics, prompts, prototyping, sessions, stateful, store)
+MODULES = (scoring, relational, sequences, calibration, kernels, learning, phonetics, prompts, prototyping, sessions, stateful, live, store)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: sql for m in MODULES for k, sql in m.ORACLE_SQL.items()}

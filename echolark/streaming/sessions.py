@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from echolark.core import read_table
 from echolark.plans.domain import FRAMES_SQL, frames
-from echolark.streaming.stateful import drained, events_stream
+from echolark.streaming.replay import drained, events_stream
 
 LIMIT, WINDOW_S = 20, 86_400
 

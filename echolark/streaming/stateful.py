@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,33 +18,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from echolark.core import read_table, shared_dir
+from echolark.core import hold, shared_dir
 from echolark.functions.alignment import OnlineAligner
 from echolark.plans.domain import FRAMES_SQL, VOICE_RMS
+from echolark.streaming.replay import BatchFolder, drained, events_stream
 
 FRAME_MS, WINDOW_FRAMES, LEAST_FRAMES, REFRESH, MOST_FRAMES = 40, 40, 10, 5, 375
 FINISH_EVERY = 97
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = read_table(spark, sf_dir, "events").schema
-    found = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    return found.withColumn("ts", F.col("ts").cast("timestamp"))
-
-
-def drained(stream: DataFrame, mode: str = "append", sink: Callable | None = None) -> DataFrame | None:
-    """Runs a bounded stream to its end, into a table of the shared folder that is read back, or into
-    `sink(batch, id)`."""
-    spark = stream.sparkSession
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    writer = stream.writeStream.option("checkpointLocation", f"{path}-log").outputMode(mode).trigger(availableNow=True)
-    writer = writer.foreachBatch(sink) if sink else writer.format("parquet").option("path", path)
-    writer.start().awaitTermination()
-    return None if sink else spark.read.schema(stream.schema).parquet(path)
-
-
 def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A key's rows of one micro-batch by time and id; rows without a time come last."""
+    """A key's rows of one micro-batch by time and id; rows without a time come last, with NaN for it."""
     found = [r for r in rows if len(r)]
     return pd.concat(found).sort_values(["t", "event_id"], kind="stable") if found else pd.DataFrame(columns=["t", "event_id"])
 
@@ -55,7 +39,7 @@ class FrameSession:
     One inference at most is under way: it is scheduled on a voiced frame at every REFRESH-th frame of a
     window of LEAST_FRAMES or more, and its result (the window's mean level) is seen from the next frame
     on. A finish marker closes the session with a final event; frames behind it, and frames beyond
-    MOST_FRAMES, are refused."""
+    MOST_FRAMES, are refused. Rows without a time, and frames without a level, are invalid and change nothing."""
 
     SCHEMA = "session_id long, event_id long, kind string, sequence int, elapsed_ms int, voice boolean, scheduled boolean, refreshed boolean, level double, voice_ratio double, status string"
     STATE = "n int, voiced int, pending boolean, waiting double, level double, closed boolean, last long, window array<double>"
@@ -65,8 +49,9 @@ class FrameSession:
         window = deque(window, WINDOW_FRAMES)
         out = []
         for t, event, rms, finish in in_order(rows)[["t", "event_id", "rms", "finish"]].itertuples(index=False):
-            if last is not None and t < last:
-                out.append((key[0], event, "late", None, None, None, None, None, None, None, None))
+            if pd.isna(t) or (pd.isna(rms) and not finish) or (last is not None and t < last):
+                kind = "invalid" if pd.isna(t) or (pd.isna(rms) and not finish) else "late"
+                out.append((key[0], event, kind, None, None, None, None, None, None, None, None))
                 continue
             last = int(t)
             if closed or n >= MOST_FRAMES:
@@ -105,10 +90,10 @@ class RateLimit:
         log = deque((state.getOption or ([],))[0])
         out = []
         for t, event in in_order(rows)[["t", "event_id"]].itertuples(index=False):
-            while log and log[0] <= t - self.span:
+            while not pd.isna(t) and log and log[0] <= t - self.span:
                 log.popleft()
             out.append((key[0], event, len(log) < self.limit))
-            if out[-1][2]:
+            if out[-1][2] and not pd.isna(t):
                 log.append(int(t))
         state.update((list(log),))
         yield frame_of(out, self.SCHEMA)
@@ -130,8 +115,9 @@ class SentenceSession:
         n, chunk, costs, lengths, observed, bad, unit, closed, last = state.getOption or (0, [], None, None, 0, 0, -1, False, None)
         aligner, chunk, out = OnlineAligner(np.array(self.reference), costs, lengths), list(chunk), []
         for t, event, rms, finish in in_order(rows)[["t", "event_id", "rms", "finish"]].itertuples(index=False):
-            if closed or (last is not None and t < last):
-                out.append((key[0], event, "refused" if closed else "late", n, None, None, None, None))
+            invalid = pd.isna(t) or (pd.isna(rms) and not finish)
+            if invalid or closed or (last is not None and t < last):
+                out.append((key[0], event, "invalid" if invalid else "refused" if closed else "late", n, None, None, None, None))
                 continue
             last = int(t)
             if finish:
@@ -208,14 +194,15 @@ def stream_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of the stream in two sinks: all of them, and those to audit. Each batch overwrites its own
     folder, so that a batch that runs again after a failure leaves no doubles. Returns what the sinks hold."""
-    path = f"{shared_dir(spark)}/fanout-{uuid.uuid4().hex}"
+    path = hold(spark, f"{shared_dir(spark)}/fanout-{uuid.uuid4().hex}")
+    kept = {"events": BatchFolder(f"{path}/events"), "audit": BatchFolder(f"{path}/audit")}
 
     def write(batch: DataFrame, k: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/events/batch={k}")
-        batch.where("event_type in ('error', 'purchase')").select("event_id", "user_id", "event_type").write.mode("overwrite").parquet(f"{path}/audit/batch={k}")
+        kept["events"](batch, k)
+        kept["audit"](batch.where("event_type in ('error', 'purchase')"), k)
 
     drained(events_stream(spark, sf_dir).select("event_id", "user_id", "event_type"), sink=write)
-    sinks = [spark.read.schema("event_id long, user_id long, event_type string").option("recursiveFileLookup", "true").parquet(f"{path}/{s}").withColumn("sink", F.lit(s)) for s in ("events", "audit")]
+    sinks = [sink.read(spark, "event_id long, user_id long, event_type string").withColumn("sink", F.lit(s)) for s, sink in kept.items()]
     return sinks[0].union(sinks[1]).groupBy("sink", "event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"))
 
 
