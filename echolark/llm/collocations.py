@@ -40,6 +40,8 @@ KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
 KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 SALTS = 64
+#: Phrases that are counted at once.
+COMBINED = 4_000_000
 
 
 @dataclass
@@ -124,10 +126,21 @@ def _named(batch: pa.RecordBatch) -> tuple[Words, list[str]]:
 
 
 def hashed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, n) of the phrases of each batch of (lang, text)."""
+    """(hash, n) of the phrases of batches of (lang, text), summed over about COMBINED of them, so that a
+    frequent phrase is a row or two of a task."""
+    held: list[np.ndarray] = []
+
+    def summed() -> pa.RecordBatch:
+        found = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names=["hash", "n"])
+
     for batch in batches:
-        found = [np.unique(h, return_counts=True) for _, h in phrase_hashes(*_named(batch))]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found]).astype(np.int64)) for k in (0, 1)], names=["hash", "n"])
+        held += [h for _, h in phrase_hashes(*_named(batch))]
+        if sum(map(len, held)) > COMBINED:
+            yield summed()
+    if held:
+        yield summed()
 
 
 class Filter:
@@ -220,7 +233,8 @@ def phrase_counts(docs: DataFrame, least: int) -> DataFrame:
     small_batches(spark, "2m")
     texts = docs.select(F.coalesce(docs["lang"], F.lit("und")).alias("lang"), docs["text"].alias("text"))
     with scratch(spark):
-        sums = texts.mapInArrow(hashed_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+        # summed before the shuffle by the batches, as most phrases are rare and a second sum there would gain little
+        sums = texts.mapInArrow(hashed_counts, "hash long, n long").repartition("hash").groupBy("hash").agg(F.sum("n").alias("n"))
         let = spark.sparkContext.broadcast(Filter.of(staged(sums.where(F.col("n") >= least).select("hash"))))
         found = texts.mapInArrow(lambda it: exact_counts(it, let.value), "lang string, phrase string, n long")
         found = found.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
