@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from echolark.core import holding, release
 from echolark.llm import quality_rules
 
 #: doc_id, text and source, and columns whose names the operators use for themselves or their results.
@@ -168,6 +170,27 @@ def test_the_whole_pipeline(spark, sf):
     assert [r.decoded_sha256 for r in out if r.doc_id == 6]
 
 
+def test_stages_compose_without_being_written(spark, docs, sf):
+    paths = []
+    with holding(paths):
+        first = docs
+        for _, stage in corpus_pipeline.STAGES[:3]:
+            first = stage(spark, first, sf)
+        left = without_near(without_copies(good(texts())))
+        assert key(plain(first)) == key(left)
+        mixed = corpus_pipeline.mix(spark, first, sf)
+        other = corpus_pipeline.exact(spark, docs, sf)  # another pipeline, in the same thread
+        again = corpus_pipeline.mix(spark, other, sf)
+        counted = corpus_pipeline.tokens(spark, mixed, sf)
+        assert counted.count() == mixed.count() and again.count() > 0
+        assert key(plain(other)) == key(without_copies(texts()))
+        assert key(plain(first)) == key(left)
+    at = [p.removeprefix("file://") for p in paths]
+    assert at and all(os.path.isdir(p) for p in at)
+    release(spark, paths)
+    assert not any(os.path.exists(p) for p in at)
+
+
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
 def test_empty_tables(spark, docs, sf, stage):
     out = stage(spark, docs.limit(0), sf)
