@@ -254,14 +254,14 @@ def near_classes(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         named = _components_of_sets(rows, field("doc", doc_id), field("doc", text), width, percent)
     own = rows.select("row", F.col(field("doc", doc_id)).alias("doc_id"), "n", "k1", "k2")
     component = F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id")
-    out = own.join(named, ["k1", "k2"], "left").select("row", "doc_id", F.col("n").alias("n_shingles"), "label", component)
+    out = own.join(named, ["k1", "k2", "n"], "left").select("row", "doc_id", F.col("n").alias("n_shingles"), "label", component)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _components_of_sets(rows: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """(k1, k2, label, smallest): the component of each different shingle set, and its smallest id."""
+    """(k1, k2, n, label, smallest): the component of each different shingle set, and its smallest id."""
     full = rows.where("n > 0")
-    nodes = full.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min(F.col(doc_id)).alias("least"), F.first("sig").alias("sig"), F.first("n").alias("n"))
+    nodes = full.groupBy("k1", "k2", "n").agg(F.min("row").alias("node"), F.min(F.col(doc_id)).alias("least"), F.first("sig").alias("sig"))
     nodes = staged(nodes)
     postings = prefix_postings(nodes, percent)
     leaders = postings.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("top"), F.count(F.lit(1)).alias("size"))
@@ -274,9 +274,9 @@ def _components_of_sets(rows: DataFrame, doc_id: str, text: str, width: int, per
     more = staged(residual_pairs(stars, labels, nodes, texts, width, percent))
     if not more.isEmpty():
         labels = staged(components(links.union(linked(more, texts, width, percent))))
-    found = staged(nodes.join(labels, "node", "left").select("k1", "k2", "least", F.coalesce("label", "node").alias("label")))
+    found = staged(nodes.join(labels, "node", "left").select("k1", "k2", "n", "least", F.coalesce("label", "node").alias("label")))
     smallest = staged(found.groupBy("label").agg(F.min("least").alias("smallest")))
-    return staged(found.join(smallest, "label").select("k1", "k2", "label", "smallest"), keep=True)
+    return staged(found.join(smallest, "label").select("k1", "k2", "n", "label", "smallest"), keep=True)
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
