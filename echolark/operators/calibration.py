@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from echolark.core import read_table
+from echolark.core import broadcast_if_small, read_table
+from echolark.operators.selection import exact_quantiles
 
 FAIL, PASS, LEAST_CONFIDENCE = -0.35, 0.35, 0.2
 
@@ -64,9 +65,9 @@ def calibrate_far_frr(spark: SparkSession, sf_dir: str, max_far: float = 0.9, ma
 def psi_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Population stability of event values between even and odd users, by event type, over ten quantile bins."""
     e = read_table(spark, sf_dir, "events").select("event_type", "value", (F.col("user_id") % 2).alias("side"))
-    q = F.array_distinct(F.percentile("value", F.array(*[F.lit(k / 10) for k in range(1, 10)])))
-    edges = e.where("side = 0").groupBy("event_type").agg(q.alias("edges"))
-    b = e.join(F.broadcast(edges), "event_type").withColumn("bin", F.size(F.filter("edges", lambda x: x <= F.col("value"))))
+    tenths = {f"q{k}": k / 10 for k in range(1, 10)}
+    edges = exact_quantiles(e.where("side = 0"), "event_type", "value", tenths).select("event_type", F.array_distinct(F.array(*tenths)).alias("edges"))
+    b = e.join(broadcast_if_small(edges), "event_type").withColumn("bin", F.size(F.filter("edges", lambda x: x <= F.col("value"))))
     h = b.groupBy("event_type", "bin").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
     w = Window.partitionBy("event_type")
     share = lambda c: F.greatest(F.coalesce(F.try_divide(F.col(c), F.sum(c).over(w)), F.lit(0.0)), F.lit(1e-6))

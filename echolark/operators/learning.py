@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from echolark.core import read_table, staged
+from echolark.core import broadcast_if_small, read_table, staged
 from echolark.functions.cleaning import REPORT, clean_pcm
 from echolark.operators.calibration import _PH, _phones
 from echolark.operators.kernels import audio
@@ -49,8 +49,8 @@ def label_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def acoustic_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and confidence of each recording against its own word's thresholds."""
-    d = distances(spark, sf_dir)
-    j = d.where("word = candidate").join(F.broadcast(thresholds(d, 0.05)), "candidate")
+    d = staged(distances(spark, sf_dir))
+    j = d.where("word = candidate").join(broadcast_if_small(thresholds(d, 0.05)), "candidate")
     x, accept, reject = F.col("distance"), F.col("accept"), F.col("reject")
     sure = F.when(x <= accept, F.least(F.lit(1.0), accept / F.greatest(x, F.lit(1e-9)))).when(x >= reject, F.least(F.lit(1.0), x / reject - 1)).otherwise(F.abs(x - (accept + reject) / 2) / (reject - accept))
     return j.select("recording_id", "word", F.round(F.exp(-x), 6).alias("score"), F.round(sure, 6).alias("confidence"))

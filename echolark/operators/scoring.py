@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from echolark.core import read_table
+from echolark.core import broadcast_if_small, read_table, staged
+from echolark.operators.selection import exact_quantiles
 from echolark.plans.domain import DIST_SQL, LOGS_SQL, REC_SQL, decision_logs, distances, euclid, recordings
 
 
@@ -17,10 +18,31 @@ def four_state(distance: Column, accept: Column, reject: Column, retry: Column)
     return F.when(retry, "RETRY").when(invalid, "UNDECIDABLE").when(distance <= accept, "CORRECT").when(distance >= reject, "INCORRECT").otherwise("UNDECIDABLE")
 
 
+FALLBACK = 20
+
+
+def calibrating(d: DataFrame) -> DataFrame:
+    """The rows of staged distances that thresholds come from, with `own`, whether a row is of its candidate's
+    word: validation rows and, for own rows of a word that validation has none of, its first FALLBACK
+    training recordings."""
+    own = F.col("word") == F.col("candidate")
+    bare = d.groupBy("candidate").agg(F.count_if(own & (F.col("split") == "validation")).alias("n")).where("n = 0").select("candidate")
+    if bare.isEmpty():
+        return d.where("split = 'validation'").withColumn("own", own)
+    bare = broadcast_if_small(staged(bare))
+    first = d.where(own & (F.col("split") == "train")).join(bare, "candidate").groupBy("candidate").agg(F.slice(F.sort_array(F.collect_set("recording_id")), 1, FALLBACK).alias("ids"))
+    first = first.select("candidate", F.explode("ids").alias("recording_id"))
+    used = d.where("split = 'validation'").union(d.where(own).join(first, ["candidate", "recording_id"]).select(d.columns))
+    return used.withColumn("own", own)
+
+
 def thresholds(d: DataFrame, step: float) -> DataFrame:
-    """Per candidate: accept is the lesser of positives' p90 and negatives' p10, reject lies `step` above at least."""
-    own, other = F.when(F.col("word") == F.col("candidate"), F.col("distance")), F.when(F.col("word") != F.col("candidate"), F.col("distance"))
-    q = d.where("split = 'validation'").groupBy("candidate").agg(F.percentile(own, F.lit(0.9)).alias("p90"), F.percentile(own, F.lit(0.97)).alias("p97"), F.percentile(other, F.lit(0.1)).alias("n10"))
+    """Per candidate of staged distances: accept is the lesser of positives' p90 and negatives' p10, reject lies
+    `step` above at least."""
+    used = calibrating(d)
+    mine = exact_quantiles(used.where("own"), "candidate", "distance", {"p90": 0.9, "p97": 0.97})
+    others = exact_quantiles(used.where("not own"), "candidate", "distance", {"n10": 0.1})
+    q = mine.join(others, "candidate", "left")
     accept = F.round(F.least("p90", F.coalesce("n10", "p90")), 9)
     return q.select("candidate", accept.alias("accept"), F.round(F.greatest(accept + step, F.col("p97")), 9).alias("reject"))
 
@@ -44,20 +66,21 @@ mm AS (SELECT recording_id, word, split, own, best.c AS competitor, best.d AS ot
 
 
 def nearest_prototype_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = distances(spark, sf_dir)
-    own = d.where("word = candidate").join(F.broadcast(thresholds(d, 0.05)), "candidate")
+    d = staged(distances(spark, sf_dir))
+    own = d.where("word = candidate").join(broadcast_if_small(thresholds(d, 0.05)), "candidate")
     return own.select("recording_id", "word", "split", F.round("distance", 6).alias("distance"), four_state(F.col("distance"), F.col("accept"), F.col("reject"), F.lit(False)).alias("status"))
 
 
 def acoustic_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return thresholds(distances(spark, sf_dir), 0.05).select("candidate", F.round("accept", 6).alias("accept"), F.round("reject", 6).alias("reject"))
+    return thresholds(staged(distances(spark, sf_dir)), 0.05).select("candidate", F.round("accept", 6).alias("accept"), F.round("reject", 6).alias("reject"))
 
 
 def contrastive_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = distances(spark, sf_dir)
-    m = margins(d)
-    least = m.where("split = 'validation'").groupBy("word").agg(F.round(F.greatest(F.lit(0.01), F.percentile("margin", F.lit(0.1))), 9).alias("required"))
-    j = m.join(F.broadcast(thresholds(d, 0.02).withColumnRenamed("candidate", "word")), "word").join(F.broadcast(least), "word")
+    d = staged(distances(spark, sf_dir))
+    m = staged(margins(d))
+    used = m.join(calibrating(d).where("own").select("recording_id", "word").distinct(), ["recording_id", "word"])
+    least = exact_quantiles(used, "word", "margin", {"p10": 0.1}).select("word", F.round(F.greatest(F.lit(0.01), F.col("p10")), 9).alias("required"))
+    j = m.join(broadcast_if_small(thresholds(d, 0.02).withColumnRenamed("candidate", "word")), "word").join(broadcast_if_small(staged(least)), "word")
     wrong = lambda c: F.col(c).isNull() | F.isnan(c) | (F.col(c) < 0) | (F.abs(c) == float("inf"))
     invalid = wrong("own") | wrong("other")
     status = F.when(invalid, "UNDECIDABLE").when((F.col("own") <= F.col("accept")) & (F.col("margin") >= F.col("required")), "CORRECT").when((F.col("own") >= F.col("reject")) | (F.col("margin") <= -F.col("required")), "INCORRECT").otherwise("UNDECIDABLE")
@@ -87,16 +110,20 @@ gt AS (SELECT recording_id, word, nearest, round(confidence, 6) AS confidence, r
 
 
 def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = identity_gate(spark, sf_dir)
+    g = staged(identity_gate(spark, sf_dir))
+    p95 = exact_quantiles(g.select(F.lit(0).alias("all"), "margin"), "all", "margin", {"p95": 0.95})
     n, words = F.count(F.lit(1)), F.countDistinct("word")
-    return g.groupBy().agg(n.alias("n"), F.count_if(F.col("gate") == "MATCH").alias("matches"), F.count_if(F.col("gate") == "MISMATCH").alias("mismatches"), F.count_if(F.col("gate") == "UNCERTAIN").alias("uncertain"), F.round(F.count_if(F.col("gate") == "MATCH") / n, 6).alias("accuracy"), F.round(F.count_if(F.col("gate") == "MISMATCH") / (n * (words - 1)), 8).alias("pair_far"), F.round(F.percentile("margin", F.lit(0.95)), 6).alias("margin_p95"))
+    return g.groupBy().agg(n.alias("n"), F.count_if(F.col("gate") == "MATCH").alias("matches"), F.count_if(F.col("gate") == "MISMATCH").alias("mismatches"), F.count_if(F.col("gate") == "UNCERTAIN").alias("uncertain"), F.round(F.count_if(F.col("gate") == "MATCH") / n, 6).alias("accuracy"), F.round(F.count_if(F.col("gate") == "MISMATCH") / (n * (words - 1)), 8).alias("pair_far")).withColumn("all", F.lit(0)).join(p95, "all", "left").withColumn("margin_p95", F.round("p95", 6)).drop("all", "p95")
 
 
 def robust_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and scaled MAD of each dimension over training rows; standard deviation, then 1, where MAD is nil."""
     x = recordings(spark, sf_dir).where("split = 'train'").select(F.posexplode("feature").alias("dim", "x"))
-    center = x.groupBy("dim").agg(F.percentile("x", F.lit(0.5)).alias("center"), F.stddev_pop("x").alias("sd"))
-    mad = x.join(F.broadcast(center), "dim").groupBy("dim", "center", "sd").agg((F.percentile(F.abs(F.col("x") - F.col("center")), F.lit(0.5)) * 1.4826).alias("mad"))
+    x = staged(x)
+    sd = x.groupBy("dim").agg(F.stddev_pop("x").alias("sd"))
+    center = staged(exact_quantiles(x, "dim", "x", {"center": 0.5}))
+    off = x.join(broadcast_if_small(center), "dim").select("dim", F.abs(F.col("x") - F.col("center")).alias("off"))
+    mad = center.join(exact_quantiles(off, "dim", "off", {"mad": 0.5}), "dim").join(sd, "dim").withColumn("mad", F.col("mad") * 1.4826)
     return mad.select("dim", F.round("center", 6).alias("center"), F.round(F.when(F.col("mad") > 1e-6, F.col("mad")).when(F.col("sd") > 1e-6, F.col("sd")).otherwise(1.0), 6).alias("scale"))
 
 

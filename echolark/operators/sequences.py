@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from echolark.core import read_table
+from echolark.core import read_table, staged
+from echolark.operators.selection import exact_quantiles
 from echolark.plans.domain import FRAMES_SQL, frames
 
 
@@ -100,12 +101,14 @@ def preemphasis_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """20th percentile of frame levels, the voice threshold above it, and the SNR of voiced over other frames."""
-    f = frames(spark, sf_dir).withColumn("db", 20 * F.log10(F.greatest("rms", F.lit(1e-8))))
-    floor = f.groupBy("session_id").agg(F.percentile("db", F.lit(0.2)).alias("floor"))
-    f = f.join(floor, "session_id").withColumn("on", F.col("db") >= F.greatest(F.round(F.col("floor") + 9, 9), F.lit(-42.0)))
+    f = staged(frames(spark, sf_dir).withColumn("db", 20 * F.log10(F.greatest("rms", F.lit(1e-8)))))
+    f = f.join(exact_quantiles(f, "session_id", "db", {"floor": 0.2}), "session_id").withColumn("on", F.col("db") >= F.greatest(F.round(F.col("floor") + 9, 9), F.lit(-42.0)))
+    off = exact_quantiles(f.where(~F.col("on")), "session_id", "rms", {"noise": 0.5})
     voice = F.sqrt(F.avg(F.when(F.col("on"), F.col("rms") * F.col("rms"))))
-    noise = F.coalesce(F.percentile(F.when(~F.col("on"), F.col("rms")), F.lit(0.5)), F.lit(1e-8))
-    return f.groupBy("session_id").agg(F.round(F.max("floor"), 5).alias("floor_db"), F.count_if("on").alias("voiced"), F.round(20 * F.log10(F.greatest(voice, F.lit(1e-8)) / F.greatest(noise, F.lit(1e-8))), 5).alias("snr_db"))
+    g = f.groupBy("session_id").agg(F.max("floor").alias("floor"), F.count_if("on").alias("voiced"), voice.alias("voice")).join(off, "session_id", "left")
+    least = F.lit(1e-8)
+    snr = 20 * F.log10(F.greatest("voice", least) / F.greatest(F.coalesce("noise", least), least))
+    return g.select("session_id", F.round("floor", 5).alias("floor_db"), "voiced", F.round(snr, 5).alias("snr_db"))
 
 
 QUERIES = {f.__name__: f for f in (frame_contiguity, rolling_features, voice_segments, voice_trim, utterance_sessions, error_debounce, sentence_unit_range_join, linspace_sample, downsample, preemphasis_delta, noise_floor)}

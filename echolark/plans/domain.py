@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolark.core import read_table
+from echolark.core import read_table, staged
 from echolark.functions.hashing import unit_interval
 
 DIMS = 26
 SEED = "seed"
 VOICE_RMS = 0.1
+#: Words whose prototypes are compared with every recording (a prototype is DIMS numbers).
+MOST_WORDS = 20_000
 
 
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +29,14 @@ def prototypes(recs: DataFrame) -> DataFrame:
     return recs.where("split = 'train'").groupBy(F.col("word").alias("candidate")).agg(F.array(*[F.avg(F.col("feature")[i]) for i in range(DIMS)]).alias("prototype"))
 
 
+def checked_prototypes(recs: DataFrame) -> DataFrame:
+    """prototypes, staged; more than MOST_WORDS of them are refused, as every executor gets all."""
+    found = staged(prototypes(recs))
+    if found.limit(MOST_WORDS + 1).count() > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words")
+    return found
+
+
 def euclid(a: Column, b: Column) -> Column:
     """Root mean squared difference of two arrays of one length."""
     total = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
@@ -36,7 +46,7 @@ def euclid(a: Column, b: Column) -> Column:
 def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance of every recording to every word's prototype, to nine places."""
     recs = recordings(spark, sf_dir)
-    found = recs.crossJoin(F.broadcast(prototypes(recs)))
+    found = recs.crossJoin(F.broadcast(checked_prototypes(recs)))
     return found.select("recording_id", "word", "speaker_hash", "split", "candidate", F.round(euclid(F.col("feature"), F.col("prototype")), 9).alias("distance"))
 
 
