@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echolark.core import read_table
-from echolark.functions.signal import dtw_distances, medoids, mfcc_summary, mfcc_temporal, subsequence_dtw
+from echolark.functions.resampling import resample_pcm
+from echolark.functions.signal import dtw_distances, medoids, mfcc_summary, mfcc_temporal, signal_stats, subsequence_dtw
 from echolark.plans.domain import recordings
 
 FRAME_DIMS = 4
@@ -108,5 +109,27 @@ def mfcc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInArrow(batches, "recording_id long, feature array<float>, frames int")
 
 
-QUERIES = {f.__name__: f for f in (medoid_prototypes, dtw_nearest, subsequence_nearest, mfcc_features)}
+RATES = (44_100, 8_000, 16_000)
+
+
+def resampled_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every recording's audio, taken to be of 44.1, 8 or 16 kHz by its id, at 16 kHz: samples before and after,
+    and the statistics of the result."""
+    rows = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("recording_id"), "embedding")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ids, found = b.column(0).to_pylist(), []
+            for i, values in zip(ids, b.column(1).to_pylist(), strict=True):
+                pcm = audio(values)
+                new = resample_pcm(pcm, RATES[i % 3])
+                now = signal_stats(new)
+                found.append((i, RATES[i % 3], len(pcm) // 2, len(new) // 2, *(round(now[k], 4) for k in ("duration_s", "rms_dbfs", "peak_dbfs", "clipped_ratio"))))
+            yield pa.RecordBatch.from_pylist([dict(zip(RESAMPLED, r, strict=True)) for r in found], schema=pa.schema(list(zip(RESAMPLED, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.float64()] * 4), strict=True))))
+
+    return rows.mapInArrow(batches, "recording_id long, rate int, samples_in long, samples_out long, duration_s double, rms_dbfs double, peak_dbfs double, clipped_ratio double")
+
+
+RESAMPLED = ("recording_id", "rate", "samples_in", "samples_out", "duration_s", "rms_dbfs", "peak_dbfs", "clipped_ratio")
+QUERIES = {f.__name__: f for f in (medoid_prototypes, dtw_nearest, subsequence_nearest, mfcc_features, resampled_audio)}
 ORACLE_SQL: dict[str, str] = {}
