@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from echolark.core import broadcast_if_small, read_table, staged
+from echolark.core import broadcast_if_small, hold, read_table, shared_dir, staged
 from echolark.functions.cleaning import REPORT, clean_pcm
 from echolark.operators.calibration import _PH, _phones
 from echolark.operators.kernels import audio
@@ -82,15 +85,80 @@ def fit_forest(rows: DataFrame, features: list[str], label: str, trees: int = TR
     return forest.fit(vectors)
 
 
-def random_forest(spark: SparkSession, sf_dir: str, trees: int = 40, depth: int = 8) -> DataFrame:
-    """Probability that a held-out attempt is of a finished order, learned from the attempts of other customers."""
+FEATURES = ["mean_score", "min_score", "mean_confidence", "min_confidence"]
+FEATURE_SCHEMA = "attempt-features-1"
+
+
+def by_speaker(rows: DataFrame, speaker: str) -> DataFrame:
+    """rows with `split`: three fifths of the speakers train, a fifth each validates and tests, so that none is in two."""
+    u = F.pmod(F.xxhash64(F.lit("split"), speaker), F.lit(5))
+    return rows.withColumn("split", F.when(u < 3, "train").when(u == 3, "validation").otherwise("test"))
+
+
+def save_forest(rows: DataFrame, path: str, version: str, trees: int = TREES, depth: int = DEPTH) -> dict:
+    """Learns a forest on the training rows of rows (FEATURES, label, split, rule), saves it under `path` with its
+    report and returns that. The report has the counts of the splits, the accuracy on those held out, that of
+    the rule on the test rows as a baseline, and a digest of the saved trees."""
+    spark = rows.sparkSession
+    model = fit_forest(rows.where("split = 'train'"), FEATURES, "label", trees, depth)
+    model.write().overwrite().save(f"{path}/model")
+    held = applied_forest(model, rows).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy"), F.avg((F.col("rule") == F.col("label")).cast("double")).alias("rule"))
+    found = {r.split: r for r in held.collect()}
+    if missing := {"train", "validation", "test"} - set(found):
+        raise ValueError(f"no rows to {', '.join(sorted(missing))}")
+    report = {f"{s}_count": found[s].n for s in ("train", "validation", "test")}
+    report |= {"model_version": version, "feature_schema": FEATURE_SCHEMA, "features": FEATURES, "validation_accuracy": found["validation"].accuracy, "test_accuracy": found["test"].accuracy, "rule_test_accuracy": found["test"].rule, "digest": forest_digest(spark, path)}
+    spark.createDataFrame([(json.dumps(report, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/report")
+    return report
+
+
+def forest_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 over the saved nodes of all trees, in any order of files."""
+    nodes = spark.read.parquet(f"{path}/model/data")
+    each = nodes.select(F.sha2(F.to_json(F.struct(*sorted(nodes.columns))), 256).alias("h"))
+    sums = [F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")) for k in range(4)]
+    return hashlib.sha256(":".join(str(x) for x in each.agg(F.count(F.lit(1)), *sums).first()).encode()).hexdigest()
+
+
+def load_forest(spark: SparkSession, path: str):
+    """A saved forest and its report; one of other features, or of trees that are not those of its report, is refused."""
+    report = json.loads(spark.read.text(f"{path}/report").first().value)
+    if report["feature_schema"] != FEATURE_SCHEMA:
+        raise ValueError(f"features {report['feature_schema']} are not {FEATURE_SCHEMA}")
+    if forest_digest(spark, path) != report["digest"]:
+        raise ValueError("the saved trees are not those of the report")
+    return RandomForestClassificationModel.load(f"{path}/model"), report
+
+
+def applied_forest(model, rows: DataFrame) -> DataFrame:
+    """rows with score, the probability of label 1, and predicted."""
+    scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(rows))
+    score = vector_to_array("probability")[1]
+    return scored.select(*[f"`{c}`" for c in rows.columns], score.alias("score"), (score >= 0.5).cast("double").alias("predicted"))
+
+
+def learned_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts with features, the label whether their order is finished, a split by customer, and the rule's verdict."""
     orders = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("attempt"), "o_custkey", (F.col("o_orderstatus") == "F").cast("double").alias("label"))
-    g = decision_rows(spark, sf_dir).join(orders, "attempt").withColumn("held_out", F.pmod(F.xxhash64("o_custkey"), F.lit(5)) == 0)
-    g = staged(g)
-    names = ["mean_score", "min_score", "mean_confidence", "min_confidence"]
-    model = fit_forest(g.where(~F.col("held_out")), names, "label", trees, depth)
-    scored = model.transform(VectorAssembler(inputCols=names, outputCol="_features").transform(g.where("held_out")))
-    return scored.select("attempt", F.col("label").cast("int").alias("label"), vector_to_array("probability")[1].alias("score"))
+    rows = by_speaker(decision_rows(spark, sf_dir).join(orders, "attempt"), "o_custkey")
+    return staged(rows.withColumn("rule", (F.col("min_score") > -0.35).cast("double")))
+
+
+def random_forest(spark: SparkSession, sf_dir: str, trees: int = 40, depth: int = 8) -> DataFrame:
+    """Probability that a held-out attempt is of a finished order, by a forest that is saved and loaded again."""
+    g = learned_attempts(spark, sf_dir)
+    path = hold(spark, f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}")
+    save_forest(g, path, "attempts-1", trees, depth)
+    model, _ = load_forest(spark, path)
+    return applied_forest(model, g.where("split = 'test'")).select("attempt", F.col("label").cast("int").alias("label"), "score")
+
+
+def forest_report(spark: SparkSession, sf_dir: str, trees: int = 40, depth: int = 8) -> DataFrame:
+    """The report of a forest, one row."""
+    path = hold(spark, f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}")
+    r = save_forest(learned_attempts(spark, sf_dir), path, "attempts-1", trees, depth)
+    names = ("train_count", "validation_count", "test_count", "validation_accuracy", "test_accuracy", "rule_test_accuracy", "model_version", "feature_schema", "digest")
+    return spark.createDataFrame([tuple(r[n] for n in names)], "train_count long, validation_count long, test_count long, validation_accuracy double, test_accuracy double, rule_test_accuracy double, model_version string, feature_schema string, digest string")
 
 
 def decision_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +167,7 @@ def decision_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(F.avg("score").alias("mean_score"), F.min("score").alias("min_score"), F.avg("confidence").alias("mean_confidence"), F.min("confidence").alias("min_confidence"))
 
 
-QUERIES = {f.__name__: f for f in (best_variant, phones_to_words, label_runs, acoustic_confidence, cleaning_report, random_forest)}
+QUERIES = {f.__name__: f for f in (best_variant, phones_to_words, label_runs, acoustic_confidence, cleaning_report, random_forest, forest_report)}
 ORACLE_SQL = {
     "best_variant": _PH + "SELECT attempt, word, total FROM (SELECT attempt, word, round(sum(score) + 1e-8, 6) AS total FROM ph GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY attempt ORDER BY total DESC, word) = 1",
     "phones_to_words": """WITH li AS (SELECT l_orderkey AS attempt, l_linenumber, l_suppkey % 3 + 1 AS length FROM lineitem),
