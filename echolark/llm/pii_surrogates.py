@@ -1,15 +1,17 @@
 r"""Surrogates for personal data, in DataFrame operations only.
 
-Detected entities (e-mail and IP addresses, phone, card and social security numbers, bank accounts,
+Detected entities (e-mail, IPv4 and IPv6 addresses, phone, card and social security numbers, bank accounts,
 titled names) are replaced by others of their kind. A surrogate depends on a key, the kind and the
 normalised value alone, so one entity has one surrogate in all documents and spellings. Digits become
 digits, letters become letters of the same case and script, separators stay; e-mail and IP addresses keep their
 shape; card and account numbers whose check digits are right get right ones; a phone number keeps its
 country code, which is read from its digits and so is the same in all spellings.
 
-A name is known by what stands behind its title: it has one surrogate with and without a dot, under
-all titles and, if it has two words, where it stands in the same text without a title. Its given name
-is replaced by one of its script and gender, which the corpus's titles tell, else the name itself.
+A name is up to three words behind one or more titles, with hyphens, apostrophes and inner capitals. It has
+one surrogate with and without a dot, under all titles and, if it has two words or more, where it stands
+in the same text without a title. There its last word alone, with or without a title, gets the last word
+of the surrogate; of several full names with that word the first is meant. Its given name is replaced by one of
+its script and gender, which the corpus's titles tell, else the name itself.
 
 Later attempts widen what a format leaves too few values for: names grow by letters, country codes are
 let go, numbers grow by digits. A dictionary of all different
@@ -29,14 +31,18 @@ from pyspark.sql import functions as F
 
 from echolark.core import field, own_columns, scratch, staged
 
+#: A word of a name: hyphens and apostrophes inside, capitals anywhere behind the first.
+NAME_WORD = r"\p{Lu}\p{L}*+(?:['’\-]\p{L}++)*+"
+TITLES = r"(?:(?:Mrs|Ms|Mr|Miss|Herr|Frau|Monsieur|Madame|Señora|Señor|Sra|Sr|Dr|Prof)\b\.? )+"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)",
+    "ip6": r"(?<![\p{L}\p{N}:])(?=[A-Fa-f:]*+\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4})(?![\p{L}\p{N}:])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|0\d{2,4} \d{3,4} \d{3,4})(?![\d\-])",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|0\d{2,4} \d{3,4} \d{3,4}|(?<![\d.,\-])[2-9]\d{2}[2-9]\d{6}(?![.,]\d))(?![\d\-])",
     "card": r"(?<![\d.])\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?![\d.]*\d)",
-    "name": r"(?<!\p{L})(?:Mrs|Ms|Mr|Miss|Herr|Frau|Monsieur|Madame|Señora|Señor|Sra|Sr|Dr)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "name": rf"(?<!\p{{L}}){TITLES}(?!(?:Mrs|Ms|Mr|Dr|Prof)\.){NAME_WORD}(?: {NAME_WORD}){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Given names by script and gender; those of a list also tell the gender of a name.
@@ -45,7 +51,9 @@ GIVEN = {
     "[Ѐ-ӿ]": ("Анна Вера Дарья Елена Ирина Любовь Мария Ольга", "Антон Борис Виктор Иван Илья Максим Никита Фёдор"),
     "[Ͱ-Ͽ]": ("Άννα Ελένη Ειρήνη Ζωή Μαρία Σοφία Δανάη Χλόη", "Ανδρέας Γιώργος Δημήτρης Κώστας Νίκος Πέτρος Σπύρος Φώτης"),
 }
-TITLE = r"^(?:Mrs|Ms|Mr|Miss|Herr|Frau|Monsieur|Madame|Señora|Señor|Sra|Sr|Dr)\.? "
+TITLE = f"^{TITLES}"
+#: A full name, without a title.
+FULL = rf"^{NAME_WORD}(?: {NAME_WORD}){{1,2}}$"
 FEMALE, MALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Señora|Sra)\b", r"^(?:Mr|Herr|Monsieur|Señor|Sr)\b"
 #: The calling codes of one and two digits; the others have three. Separators may stand between.
 CODE = r"^\+(?:[17]|2\D*[07]|3\D*[0-469]|4\D*[013-9]|5\D*[1-8]|6\D*[0-6]|8\D*[1246]|9\D*[0-58]|\d\D*\d\D*\d)"
@@ -63,20 +71,24 @@ def let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def _surname(name: Column) -> Column:
+    return F.regexp_extract(name, r"(\S+)$", 1)
+
+
 def kind_of(value: Column) -> Column:
     chain = None
     for kind, pattern in PATTERNS.items():
         whole = value.rlike(rf"^(?:{pattern})$")
         chain = F.when(whole, F.lit(kind)) if chain is None else chain.when(whole, F.lit(kind))
     # a name that is known from its title elsewhere in the text
-    return chain.when(value.rlike(r"^\p{L}+ \p{L}+$"), F.lit("name")).otherwise(F.lit("card"))
+    return chain.when(value.rlike(rf"^{NAME_WORD}(?: {NAME_WORD}){{0,2}}$"), F.lit("name")).otherwise(F.lit("card"))
 
 
 def normalised(value: Column, kind: Column) -> Column:
     """What spellings of one entity have in common."""
     bare = F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}]", "")
     phone = F.concat(F.regexp_extract(value, r"^\+?", 0), bare)
-    return F.when(kind == "email", F.lower(value)).when(kind == "ip", value).when(kind == "name", F.regexp_replace(value, TITLE, "")).when(kind == "phone", phone).otherwise(bare)
+    return F.when(kind.isin("email", "ip6"), F.lower(value)).when(kind == "ip", value).when(kind == "name", F.regexp_replace(value, TITLE, "")).when(kind == "phone", phone).otherwise(bare)
 
 
 def _letter(c: Column, digest: Column, at: Column) -> Column:
@@ -137,7 +149,7 @@ def _longer(name: Column, digest: Column, attempt: Column) -> Column:
         if alphabet == alphabet.lower():
             new = F.translate(part, HEX, alphabet)
             more = F.when(last.rlike(letters), new) if more is None else more.when(last.rlike(letters), new)
-    return F.concat(_bare_shaped(name, digest), F.when(attempt > 1, more).otherwise(""))
+    return _spelled_like(name, F.concat(_bare_shaped(name, digest), F.when(attempt > 1, more).otherwise("")))
 
 
 def female_by_name(given: Column) -> Column:
@@ -148,13 +160,16 @@ def female_by_name(given: Column) -> Column:
 
 def _name(bare: Column, digest: Column, attempt: Column, female: Column) -> Column:
     pick = F.conv(F.substr(digest, F.lit(40), F.lit(4)), 16, 10).cast("int")
-    first, family = F.regexp_extract(bare, r"^(\S+) \S+$", 1), F.regexp_extract(bare, r"(\S+)$", 1)
+    first, middle, family = F.regexp_extract(bare, r"^(\S+) ", 1), F.regexp_extract(bare, r"^\S+ (\S+) ", 1), F.regexp_extract(bare, r"(\S+)$", 1)
     given, woman = _bare_shaped(first, digest), F.coalesce(female, female_by_name(first))
     for script, lists in GIVEN.items():
         women, men = (F.array(*[F.lit(x) for x in names.split(" ")]) for names in lists)
         chosen = lambda names: F.element_at(names, F.pmod(pick, F.size(names)) + 1)
         given = F.when(first.rlike(script), F.when(woman, chosen(women)).otherwise(chosen(men))).otherwise(given)
-    return F.when(first != "", F.concat_ws(" ", given, _longer(family, digest, attempt))).otherwise(_longer(family, digest, attempt))
+    given = F.when(first.rlike(r"^\p{Lu}{2}"), F.upper(given)).otherwise(given)
+    # a middle name has letters of its own place in the digest
+    between = F.when(middle != "", _spelled_like(middle, _bare_shaped(middle, F.substr(digest, F.lit(33)))))
+    return F.when(first != "", F.concat_ws(" ", given, between, _longer(family, digest, attempt))).otherwise(_longer(family, digest, attempt))
 
 
 def surrogate(value: Column, kind: Column, key: str, attempt: Column, female: Column) -> Column:
@@ -171,7 +186,8 @@ def _of_kind(value: Column, kind: Column, norm: Column, digest: Column, attempt:
     more = F.when(attempt >= LONGER_NUMBERS, F.translate(F.substr(digest, F.lit(30), attempt - LONGER_NUMBERS + 1), HEX, "0123456789314159")).otherwise("")
     bare = F.upper(F.regexp_replace(value, r"[^\p{L}\p{N}]", ""))
     number = let(bare, lambda old: let(F.concat(_bare_shaped(old, digest), more), lambda new: _number(value, kind, old, new, attempt)))
-    return F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", *[octet(i) for i in range(4)])).when(kind == "name", name).otherwise(number)
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substr(digest, 4 * i + 1, F.lit(4)))
+    return F.when(kind == "email", email).when(kind == "ip6", F.array_join(groups, ":")).when(kind == "ip", F.concat_ws(".", *[octet(i) for i in range(4)])).when(kind == "name", name).otherwise(number)
 
 
 def _number(value: Column, kind: Column, old: Column, new: Column, attempt: Column) -> Column:
@@ -213,7 +229,9 @@ def with_surrogates(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     own = docs.select(own_columns(docs), F.monotonically_increasing_id().alias("row"), docs[f"`{text}`"].alias("text"))
     none = F.array().cast("array<string>")
     titled = own.withColumn("found", F.coalesce(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), none))
-    names = F.array_distinct(F.transform(F.filter("found", lambda v: v.rlike(TITLE) & v.rlike(r" \S+ ")), lambda v: F.regexp_replace(v, TITLE, "")))
+    names = F.filter(F.transform(F.filter("found", lambda v: v.rlike(TITLE)), lambda v: F.regexp_replace(v, TITLE, "")), lambda v: v.rlike(FULL))
+    # longer ones first, as the first alternative that fits is taken
+    names = F.array_distinct(F.concat(names, F.transform(names, _surname)))
     with_names = F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), F.array_join(names, "|"), F.lit(r")(?!\p{L})"))
     marked = titled.withColumn("any", F.when(F.size(names) > 0, with_names))
     found = F.when(F.col("any").isNull(), F.col("found")).otherwise(F.regexp_extract_all("text", F.col("any"), F.lit(0)))
@@ -228,7 +246,12 @@ def with_surrogates(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
             maps = held.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("value", F.struct("attempt", "female")))).alias("known"))
             known = rows.join(staged(maps, keep=True), "row", "left")
     of = lambda v: F.try_element_at(F.col("known"), v)
-    made = F.transform("found", lambda v: surrogate(v, kind_of(v), key, F.coalesce(of(v).attempt, F.lit(0)), of(v).female))
+    whole_of = lambda v: surrogate(v, kind_of(v), key, F.coalesce(of(v).attempt, F.lit(0)), of(v).female)
+    # a surname is that of the first full name of the text that ends in it
+    full = F.filter("found", lambda v: F.regexp_replace(v, TITLE, "").rlike(FULL) & kind_of(v).eqNullSafe("name"))
+    named = F.transform(full, lambda v: F.struct(_surname(v).alias("old"), v.alias("value")))
+    bearer = lambda v: F.get(F.filter(named, lambda n: n.old == F.regexp_replace(v, TITLE, "")), F.lit(0)).value
+    made = F.transform("found", lambda v: let(bearer(v), lambda b: F.when(b.isNull(), whole_of(v)).otherwise(F.concat(F.regexp_extract(v, TITLE, 0), _surname(whole_of(b))))))
     whole = F.col(field("doc", text))
     gaps = F.when(F.col("any").isNull(), F.split(whole, ANY, -1)).otherwise(F.split(whole, F.col("any"), -1))
     pieces = F.zip_with(gaps, made, lambda gap, s: F.concat(gap, F.coalesce(s, F.lit(""))))

@@ -81,3 +81,52 @@ def test_many_short_names_stay_distinct(spark):
     out = pii.with_surrogates(rows, "k").join(rows.withColumnRenamed("text", "old"), "doc_id")
     n = out.agg(F.countDistinct("old").alias("old"), F.countDistinct("text").alias("new"), F.countDistinct("old", "text").alias("pairs"), F.count_if(F.col("old") == F.col("text")).alias("same")).first()
     assert n.old == n.new == n.pairs == 676 and n.same == 0
+
+
+@pytest.mark.parametrize("text", ["Mr. McDonald", "Mrs. Jean-Luc Picard", "Mr. John Ronald Tolkien", "Frau Dr. Weber", "Mr. O'Brien", "Mr. JOHN SMITH", "Prof. Dr. Anna Müller-Lüdenscheidt", "Sr. Ñandú"])
+def test_no_part_of_a_name_stays(replaced, text):
+    out = replaced([f"then {text} left, and so on"])[0]
+    title = re.match(r"(?:(?:Mrs|Mr|Frau|Dr|Prof|Sr)\.? )+", text).group()
+    assert out.startswith("then " + title) and out.endswith(" left, and so on")
+    old, new = text.removeprefix(title).split(" "), out[5 + len(title) : -len(" left, and so on")].split(" ")
+    assert len(old) == len(new) and not set(re.findall(r"\w{3,}", " ".join(old).lower())) & set(re.findall(r"\w{3,}", " ".join(new).lower()))
+    assert re.sub(r"\w", "", old[-1]) == re.sub(r"\w", "", new[-1]) and new[0].isupper() == old[0].isupper()
+
+
+def test_surnames_follow_the_full_name_of_their_text(replaced):
+    text = "Mr. John Smith came. Mr. Smith left. Smith said no to Smithers. John Smith agreed."
+    out = replaced([text, "Mr. Smith alone", "Dr. Smith alone"])
+    given, family = re.match(r"Mr\. (\S+) (\S+) came\.", out[0]).groups()
+    assert out[0] == f"Mr. {given} {family} came. Mr. {family} left. {family} said no to Smithers. {given} {family} agreed."
+    assert "Smith" not in out[1] and out[1].split(" ")[1] == out[2].split(" ")[1]
+
+
+@pytest.mark.parametrize("text, left", [("müller@x.de", "müller"), ("to ana.ñ@correo.es", "ñ@"), ("call 3015550346 now", "3015550346"), ("at 2001:db8:85a3::8a2e:370:7334 up", "2001"), ("fe80:0:0:0:1:2:3:4", "fe80"), ("::x fe80::1 y", "fe80::1")])
+def test_unicode_mail_bare_numbers_and_ipv6(replaced, text, left):
+    out = replaced([text])[0]
+    assert left not in out and out != text
+    assert out.split(" ")[0] == text.split(" ")[0] or " " not in text
+
+
+@pytest.mark.parametrize("text", ["std::vector at 12:34:56", "a::b", "1234567890 and 1700000000 and 12345678901", "Dr. is a title, Mr. too", "the missing Mr", "10:20:30:40", "version 1.2.3"])
+def test_other_text_is_left_alone(replaced, text):
+    assert replaced([text]) == [text]
+
+
+def test_surrogates_are_one_to_one_over_a_planted_corpus(spark):
+    """Against a plain count of what was planted: each entity has one surrogate, and no two share one."""
+    import random
+
+    rng = random.Random(3)
+    given, family = ["Ann", "Bob", "Cyd", "Dan", "Eve"], ["Long", "O'Neil", "McRae", "Smith-Jones", "Lee"]
+    make = [lambda: f"Mr. {rng.choice(given)} {rng.choice(family)}", lambda: f"u{rng.randrange(40)}@mail.org", lambda: f"10.0.{rng.randrange(9)}.{rng.randrange(1, 9)}", lambda: f"301-555-{rng.randrange(1000, 1050)}"]
+    planted = [[rng.choice(make)() for _ in range(4)] for _ in range(300)]
+    rows = spark.createDataFrame([(k, " | ".join(p)) for k, p in enumerate(planted)], "doc_id long, text string")
+    seen = {}
+    for r in pii.with_surrogates(rows, "k").collect():
+        parts = r.text.split(" | ")
+        assert len(parts) == 4 and r.n_entities == 4
+        for old, new in zip(planted[r.doc_id], parts, strict=True):
+            seen.setdefault(old, set()).add(new)
+    assert all(len(v) == 1 for v in seen.values())
+    assert len({next(iter(v)) for v in seen.values()}) == len(seen) and not {next(iter(v)) for v in seen.values()} & set(seen)
