@@ -75,17 +75,31 @@ def acoustic_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return thresholds(staged(distances(spark, sf_dir)), 0.05).select("candidate", F.round("accept", 6).alias("accept"), F.round("reject", 6).alias("reject"))
 
 
-def contrastive_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+def contrastive_verdict(retry: Column) -> tuple[Column, Column]:
+    """Status and reason of rows with own, other, margin, accept, reject and required, the first rule that holds:
+    retry, values that are not distances, close and ahead of the next word, far, behind the next word."""
+    wrong = lambda c: F.col(c).isNull() | F.isnan(c) | (F.col(c) < 0) | (F.abs(c) == float("inf"))
+    rules = [(retry, "RETRY", "AUDIO_QUALITY"), (wrong("own") | wrong("other"), "UNDECIDABLE", "INVALID"),
+             ((F.col("own") <= F.col("accept")) & (F.col("margin") >= F.col("required")), "CORRECT", "WITHIN_ACCEPT"),
+             (F.col("own") >= F.col("reject"), "INCORRECT", "DISTANCE"), (F.col("margin") <= -F.col("required"), "INCORRECT", "MARGIN")]
+    status, reason = F.when(rules[0][0], rules[0][1]), F.when(rules[0][0], rules[0][2])
+    for holds, verdict, why in rules[1:]:
+        status, reason = status.when(holds, verdict), reason.when(holds, why)
+    return status.otherwise("UNDECIDABLE"), reason.otherwise("AMBIGUOUS")
+
+
+def contrastive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margins of every recording with the thresholds of its word."""
     d = staged(distances(spark, sf_dir))
     m = staged(margins(d))
     used = m.join(calibrating(d).where("own").select("recording_id", "word").distinct(), ["recording_id", "word"])
     least = exact_quantiles(used, "word", "margin", {"p10": 0.1}).select("word", F.round(F.greatest(F.lit(0.01), F.col("p10")), 9).alias("required"))
-    j = m.join(broadcast_if_small(thresholds(d, 0.02).withColumnRenamed("candidate", "word")), "word").join(broadcast_if_small(staged(least)), "word")
-    wrong = lambda c: F.col(c).isNull() | F.isnan(c) | (F.col(c) < 0) | (F.abs(c) == float("inf"))
-    invalid = wrong("own") | wrong("other")
-    status = F.when(invalid, "UNDECIDABLE").when((F.col("own") <= F.col("accept")) & (F.col("margin") >= F.col("required")), "CORRECT").when((F.col("own") >= F.col("reject")) | (F.col("margin") <= -F.col("required")), "INCORRECT").otherwise("UNDECIDABLE")
-    reason = F.when(invalid, "INVALID").when(status == "CORRECT", "WITHIN_ACCEPT").when(F.col("own") >= F.col("reject"), "DISTANCE").when(status == "INCORRECT", "MARGIN").otherwise("AMBIGUOUS")
-    return j.select("recording_id", "word", "competitor", F.round("margin", 6).alias("margin"), status.alias("status"), reason.alias("reason"))
+    return m.join(broadcast_if_small(thresholds(d, 0.02).withColumnRenamed("candidate", "word")), "word").join(broadcast_if_small(staged(least)), "word")
+
+
+def contrastive_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status, reason = contrastive_verdict(F.lit(False))
+    return contrastive_rows(spark, sf_dir).select("recording_id", "word", "competitor", F.round("margin", 6).alias("margin"), status.alias("status"), reason.alias("reason"))
 
 
 def identity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
