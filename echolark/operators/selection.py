@@ -78,3 +78,27 @@ def exact_quantiles(rows: DataFrame, key: str, value: str, shares: dict[str, flo
         outs = [x.alias(f"{k}_{side}") for k, p in place.items() for side, x in (("low", at(F.floor(p))), ("high", at(F.ceil(p))), ("part", F.max(p - F.floor(p))))]
         g = found.groupBy("key").agg(*outs)
         return staged(g.select(F.col("key").alias(key), *[_between(F.col(f"{k}_low"), F.col(f"{k}_high"), F.col(f"{k}_part")).alias(k) for k in shares]), keep=True)
+
+
+def largest_within(rows: DataFrame, allowed) -> tuple[float, int, int] | None:
+    """The least value down to which the sum of weights, from the largest value on, is still allowed, with the number and
+    the weight of the rows from there on; none if not even the largest is. rows (value, weight) are read in
+    rounds, of which BINS sums each come to the driver; allowed(sum) must not hold again once it fails."""
+    low, high = rows.agg(F.min("value"), F.max("value")).first()
+    n = weight = 0
+    best = None
+    while low is not None:
+        width = F.lit(high) / 2 - F.lit(low) / 2
+        place = F.when(width > 0, (F.col("value") / 2 - F.lit(low) / 2) / width).otherwise(0.0)
+        bins = rows.where(F.col("value").between(low, high)).groupBy(F.least(F.floor(place * BINS), F.lit(BINS - 1)).alias("bin"))
+        found = bins.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
+        low = None
+        for r in sorted(found, key=lambda r: -r.bin):
+            if allowed(weight + r.weight):
+                n, weight = n + r.n, weight + r.weight
+                best = (r.low, n, weight)
+                continue
+            if r.low < r.high:
+                low, high = r.low, r.high
+            break
+    return best

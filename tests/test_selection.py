@@ -83,3 +83,15 @@ def test_words_without_validation_rows_fall_back_to_training(spark):
     own = {c: sorted(r.recording_id for r in used if r.own and r.candidate == c) for c in "ab"}
     assert own == {"a": list(range(0, 60, 2)), "b": list(range(1000, 1020))}
     assert {r.candidate: r.accept for r in scoring.thresholds(d, 0.05).collect()} == pytest.approx({"a": np.quantile([k % 50 for k in range(0, 60, 2)], 0.9), "b": np.quantile(range(20), 0.9)})
+
+
+def test_largest_values_within_a_budget(spark):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([np.round(rng.normal(size=3000), 2), 10.0 ** rng.integers(-9, 9, 200)])
+    weights = rng.integers(0, 3, len(values))
+    df = spark.createDataFrame([(float(v), int(w)) for v, w in zip(values, weights, strict=True)], "value double, weight long").cache()
+    for budget in (0, 50, 1234, 10**6):
+        fits = [(v, int((values >= v).sum()), int(weights[values >= v].sum())) for v in np.unique(values) if weights[values >= v].sum() <= budget]
+        assert selection.largest_within(df, lambda w, most=budget: w <= most) == (min(fits) if fits else None)
+    assert selection.largest_within(df.limit(0), lambda w: True) is None
+    df.unpersist()
