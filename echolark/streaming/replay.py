@@ -20,18 +20,20 @@ from echolark.core import hold, read_table, shared_dir
 LEAST_SLICES, SLICE_ROWS = 4, 1_000_000
 
 
-def landed(df: DataFrame, by: str, slices: int | None = None) -> str:
-    """Writes df as files in the order of column `by` (null first) and returns their folder."""
+def landed(df: DataFrame, by: str, slices: int | None = None, path: str | None = None) -> str:
+    """Writes df as files in the order of column `by` (null first), behind those that the folder has, and returns the folder."""
     spark = df.sparkSession
     slices = slices or max(LEAST_SLICES, -(-df.count() // SLICE_ROWS))
-    path = hold(spark, f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}")
-    df.repartitionByRange(slices, F.col(by).asc_nulls_first()).write.mode("append").parquet(path)
+    path = path or hold(spark, f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}")
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    parts = sorted((x.getPath() for x in files.listStatus(at) if x.getPath().getName().startswith("part-")), key=lambda x: x.getName())
-    now = int(time.time() * 1000)
-    for k, part in enumerate(parts):
-        files.setTimes(part, now - 1000 * (len(parts) - k), -1)
+    there = lambda: {x.getPath().getName(): x for x in files.listStatus(at) if x.getPath().getName().startswith("part-")}
+    old = there()
+    df.repartitionByRange(slices, F.col(by).asc_nulls_first()).write.mode("append").parquet(path)
+    new = sorted(set(there()) - set(old))
+    first = max([int(time.time() * 1000) - 1000 * len(new), *(x.getModificationTime() for x in old.values())])
+    for k, name in enumerate(new, 1):
+        files.setTimes(spark._jvm.org.apache.hadoop.fs.Path(at, name), first + 1000 * k, -1)
     return path
 
 
