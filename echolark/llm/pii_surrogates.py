@@ -40,7 +40,7 @@ PATTERNS = {
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)",
     "ip6": r"(?<![\p{L}\p{N}:])(?=[A-Fa-f:]*+\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4})(?![\p{L}\p{N}:])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|0\d{2,4} \d{3,4} \d{3,4}|(?<![\d.,\-])[2-9]\d{2}[2-9]\d{6}(?![.,]\d))(?![\d\-])",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|0\d{2,4} \d{3,4} \d{3,4}|(?<![\p{L}\d.,\-_/=])[2-9]\d{2}[2-9]\d{6}(?![\p{L}_]|[.,]\d))(?![\d\-])",
     "card": r"(?<![\d.])\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?![\d.]*\d)",
     "name": rf"(?<!\p{{L}}){TITLES}(?!(?:Mrs|Ms|Mr|Dr|Prof)\.){NAME_WORD}(?: {NAME_WORD}){{0,2}}",
 }

@@ -108,7 +108,7 @@ def test_unicode_mail_bare_numbers_and_ipv6(replaced, text, left):
     assert out.split(" ")[0] == text.split(" ")[0] or " " not in text
 
 
-@pytest.mark.parametrize("text", ["std::vector at 12:34:56", "a::b", "1234567890 and 1700000000 and 12345678901", "Dr. is a title, Mr. too", "the missing Mr", "10:20:30:40", "version 1.2.3"])
+@pytest.mark.parametrize("text", ["std::vector at 12:34:56", "a::b", "1234567890 and 1700000000 and 12345678901", "Dr. is a title, Mr. too", "the missing Mr", "10:20:30:40", "version 1.2.3", "ede43f42c939b6405768150e0411590525cf", "id_3015550346", "3015550346.5"])
 def test_other_text_is_left_alone(replaced, text):
     assert replaced([text]) == [text]
 
