@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from echolark.core import read_table
+from echolark.core import read_table, staged
 from echolark.functions.resampling import resample_pcm
 from echolark.functions.signal import dtw_distances, medoids, mfcc_summary, mfcc_temporal, signal_stats, subsequence_dtw
-from echolark.plans.domain import recordings
+from echolark.plans.domain import MOST_WORDS, recordings
 
 FRAME_DIMS = 4
 CANDIDATES = 36
@@ -70,9 +70,17 @@ def medoid_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("word").applyInPandas(choose, "word string, proto_idx int, recording_id long, embedding array<float>")
 
 
+def checked_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """medoid_prototypes, staged; those of more than MOST_WORDS words are refused, as every executor gets all."""
+    found = staged(medoid_prototypes(spark, sf_dir))
+    if found.select("word").distinct().limit(MOST_WORDS + 1).count() > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words")
+    return found
+
+
 def dtw_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest word of each validation recording by warped distance to any of its medoids."""
-    p = medoid_prototypes(spark, sf_dir).select(F.col("word").alias("candidate"), F.col("embedding").alias("prototype"))
+    p = checked_medoids(spark, sf_dir).select(F.col("word").alias("candidate"), F.col("embedding").alias("prototype"))
     v = temporal(spark, sf_dir).where("split = 'validation'").select("recording_id", "word", "embedding")
     d = v.crossJoin(F.broadcast(p)).withColumn("d", F.pandas_udf(_warped, "double")("embedding", "prototype"))
     best = d.groupBy("recording_id", "word", "candidate").agg(F.min("d").alias("d")).groupBy("recording_id", "word").agg(F.min(F.struct("d", "candidate")).alias("b"))
@@ -81,7 +89,7 @@ def dtw_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subsequence_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each test recording's least distance to the middle half of any of its word's medoids."""
-    p = medoid_prototypes(spark, sf_dir).select("word", F.slice("embedding", 17, 32).alias("prototype"))
+    p = checked_medoids(spark, sf_dir).select("word", F.slice("embedding", 17, 32).alias("prototype"))
     v = temporal(spark, sf_dir).where("split = 'test'").select("recording_id", "word", "embedding")
     d = v.join(F.broadcast(p), "word").withColumn("d", _paired(subsequence_dtw)("prototype", "embedding"))
     return d.groupBy("recording_id", "word").agg(F.round(F.min("d"), 6).alias("distance"))
