@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from echolark.core import broadcast_if_small, scratch, staged
 
-BINS, FEW = 1024, 4096
+BINS, FEW = 1024, 65_536
 
 
 def _narrowed(rows: DataFrame, ranges: DataFrame) -> DataFrame:
