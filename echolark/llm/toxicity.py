@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolark.core import scratch, small_batches, staged
+from echolark.core import broadcast_if_small, scratch, small_batches, staged
 
 MAX_TRAINING = 20_000
 STEM_SIZES = (5, 6, 7, 8)
@@ -253,11 +253,11 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     often = lambda share: max(3, share * n_toxic)
     spots = staged(texts.select("doc_id", "toxic", F.explode(F.array_distinct("words")).alias("w")))
     used = staged(spots.groupBy("w").agg(p.alias("p"), n.alias("n")))
-    top = used.where((F.col("p") >= often(0.03)) & (precise | contested) & (F.length("w") > 2)).select("w", "p", "n")
+    top = broadcast_if_small(staged(used.where((F.col("p") >= often(0.03)) & (precise | contested) & (F.length("w") > 2)).select("w", "p", "n")))
     # a term's surroundings: distinct pairs of neighbours in toxic texts
-    placed = texts.where("toxic = 1").select("words", F.posexplode("words").alias("k", "w")).join(top, "w")
-    around = placed.select("w", "p", "n", F.xxhash64(F.when(F.col("k") > 0, F.get("words", F.col("k") - 1)), F.get("words", F.col("k") + 1)).alias("c"))
-    wide = around.groupBy("w", "p", "n").agg(F.countDistinct("c").alias("d")).where(F.col("d") >= often(0.05)).collect()
+    placed = texts.where("toxic = 1").select("words", F.posexplode("words").alias("k", "w"))
+    around = placed.select("w", F.xxhash64(F.when(F.col("k") > 0, F.get("words", F.col("k") - 1)), F.get("words", F.col("k") + 1)).alias("c"))
+    wide = around.join(top, "w").groupBy("w", "p", "n").agg(F.countDistinct("c").alias("d")).where(F.col("d") >= often(0.05)).collect()
     counts = {r.w: (r.p, r.n) for r in wide}
     # stems are counted without the words that other texts use as much
     odd = spots.join(used.where((F.col("n") < 2) | precise).select("w"), "w").where(F.length("w") > STEM_SIZES[0])
