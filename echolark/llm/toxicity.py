@@ -3,7 +3,7 @@
 The lexicon holds terms that labelled toxic texts use far more often than others and in many
 different surroundings, so that copies of one text add nothing, and stems that the same holds for, which
 catch inflected forms. Terms may be contested: used in other texts too, as quotations are, but
-significantly less. Words that resemble terms but are used less by toxic texts than the term's own share
+significantly and clearly less. Words that resemble terms but are used less by toxic texts than the term's own share
 allows are exceptions. The terms' trie is intersected with the
 Levenshtein automaton of each distinct token: a state is a row of edit distances, branches whose row
 exceeds the bound are dropped, and a bound on differing letters spares most tokens the walk.
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolark.core import broadcast_if_small, scratch, small_batches, staged
+from echolark.core import scratch, small_batches, staged
 
 MAX_TRAINING = 20_000
 STEM_SIZES = (5, 6, 7, 8)
@@ -44,8 +44,8 @@ TOKEN_SQL = r"[^\p{L}\p{N}_@$*]+"
 THRESHOLD = 0.7
 CONTEXT = 6
 MIN_PRECISION = 0.8
-#: Standard errors between the shares of toxic and of other texts that use a contested term.
-CONTESTED_Z = 5.0
+#: Standard errors between the shares of a contested term in toxic and in other surroundings, and their least quotient.
+CONTESTED_Z, CONTESTED_RATIO = 5.0, 1.5
 #: Labelled hits that a cue needs, the hits its odds are smoothed by, and the bound of a window's sum.
 MIN_CUE_HITS, CUE_PRIOR, MOST_CONTEXT = 3, 8.0, 6.0
 MEMO_ENTRIES = 200_000
@@ -233,6 +233,13 @@ def log_odds(p: float, n: float, n_toxic: int, n_other: int) -> float:
     return float(np.log((p + 0.5) / (n_toxic + 1)) - np.log((n + 0.5) / (n_other + 1)))
 
 
+def contested(p: int, n: int, of_toxic: int, of_other: int) -> bool:
+    """Whether toxic texts use a word in clearly more of their surroundings than others, so that copies add nothing."""
+    both = (p + n) / (of_toxic + of_other)
+    gap, spread = p / of_toxic - n / of_other, both * (1 - both) * (1 / of_toxic + 1 / of_other)
+    return p * of_other >= CONTESTED_RATIO * n * of_toxic and gap >= CONTESTED_Z * spread**0.5
+
+
 def at_most(p: int, of: int, share: float) -> float:
     """Chance of p or fewer toxic texts of so many, where each is toxic by `share`."""
     return sum(exp(lgamma(of + 1) - lgamma(k + 1) - lgamma(of - k + 1) + k * log(share) + (of - k) * log1p(-share)) for k in range(p + 1))
@@ -247,18 +254,21 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
         return Lexicon([])
     p, n = F.count(F.when(F.col("toxic") == 1, 1)), F.count(F.when(F.col("toxic") == 0, 1))
     precise = F.col("p") >= MIN_PRECISION * (F.col("p") + F.col("n"))
-    both = (F.col("p") + F.col("n")) / (n_toxic + n_other)
-    gap = (F.col("p") / n_toxic - F.col("n") / n_other) / F.sqrt(both * (1 - both) * (1 / n_toxic + 1 / n_other))
-    contested = (both < 1) & (gap >= CONTESTED_Z)
+    ahead = F.col("p") * n_other >= CONTESTED_RATIO * F.col("n") * n_toxic
     often = lambda share: max(3, share * n_toxic)
     spots = staged(texts.select("doc_id", "toxic", F.explode(F.array_distinct("words")).alias("w")))
     used = staged(spots.groupBy("w").agg(p.alias("p"), n.alias("n")))
-    top = broadcast_if_small(staged(used.where((F.col("p") >= often(0.03)) & (precise | contested) & (F.length("w") > 2)).select("w", "p", "n")))
-    # a term's surroundings: distinct pairs of neighbours in toxic texts
-    placed = texts.where("toxic = 1").select("words", F.posexplode("words").alias("k", "w"))
-    around = placed.select("w", F.xxhash64(F.when(F.col("k") > 0, F.get("words", F.col("k") - 1)), F.get("words", F.col("k") + 1)).alias("c"))
-    wide = around.join(top, "w").groupBy("w", "p", "n").agg(F.countDistinct("c").alias("d")).where(F.col("d") >= often(0.05)).collect()
-    counts = {r.w: (r.p, r.n) for r in wide}
+    top = {r.w: r for r in used.where((F.col("p") >= often(0.03)) & (precise | ahead) & (F.length("w") > 2)).collect()}
+    # a term's surroundings: distinct pairs of neighbours in toxic and in other texts
+    placed = texts.select("toxic", "words", F.posexplode("words").alias("k", "w"))
+    around = placed.select("toxic", "w", F.xxhash64(F.when(F.col("k") > 0, F.get("words", F.col("k") - 1)), F.get("words", F.col("k") + 1)).alias("c"))
+    in_all = {r.toxic: r.m for r in around.groupBy("toxic").agg(F.approx_count_distinct(F.xxhash64("w", "c"), 0.02).alias("m")).collect()}
+    near = around.where(F.col("w").isin(list(top))).distinct().groupBy("w").agg(p.alias("p"), n.alias("n")).collect()
+    counts = {}
+    for r in near:
+        c = top[r.w]
+        if r.p >= often(0.05) and (c.p >= MIN_PRECISION * (c.p + c.n) or contested(r.p, r.n, in_all[1], in_all[0])):
+            counts[r.w] = c.p, c.n
     # stems are counted without the words that other texts use as much
     odd = spots.join(used.where((F.col("n") < 2) | precise).select("w"), "w").where(F.length("w") > STEM_SIZES[0])
     grown = odd.select("doc_id", "toxic", "w", F.explode(F.array(*[F.when(F.length("w") > k, F.substring("w", 1, k)) for k in STEM_SIZES])).alias("stem")).where("stem is not null")
