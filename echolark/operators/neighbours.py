@@ -6,7 +6,8 @@ sample; it decides what is pruned, never what is found). Rows belong to the cell
 pivot, and keep their distance to it. A query first meets the cell of its nearest pivot with enough
 rows; the distance of the last wanted neighbour there bounds the search: a cell whose rows are all
 farther from its pivot's side of the query than that is left out, and within a cell so is every row
-whose distance to the pivot differs from the query's by more.
+whose distance to the pivot differs from the query's by more. What is left of a cell is compared in blocks, as
+products of matrices; of a query and block only the best few rows go on, so that pairs are never shuffled.
 
 Of equal vectors only the few rows that can be among the wanted ones are kept, and equal queries are
 searched once, so very large groups of copies cost no pairs. Vectors without a direction (all values at
@@ -29,6 +30,8 @@ from echolark.plans.domain import DIMS, REC_SQL, recordings
 PIVOTS, MOST_GROUPS = 64, 1_000
 #: Similarities that differ by less may be equal to six places.
 SLACK = 1.5e-6
+#: Rows and queries of a block, and of one product within it.
+BLOCK, CHUNK, WIDTH = 32_768, 256, 4_096
 
 
 def units(rows: DataFrame, of: DataFrame, dims: int) -> DataFrame:
@@ -114,12 +117,72 @@ def cells_to_search(queries: DataFrame, cells: DataFrame, pivots: dict[str, np.n
     return queries.select("group", "id", "u", "bound").mapInArrow(search, "group string, id long, u array<double>, bound double, cell int, away double")
 
 
-def met(searched: DataFrame, rows: DataFrame) -> DataFrame:
-    """(query, id, similarity) of queries and the rows of their cells that the triangle inequality leaves."""
-    x = rows.select("group", "cell", F.col("id").alias("other"), F.col("u").alias("w"), F.col("away").alias("off"))
-    pairs = searched.join(x, ["group", "cell"]).where(F.col("bound").isNull() | (F.abs(F.col("off") - F.col("away")) <= F.col("bound")))
-    dot = F.aggregate(F.zip_with("u", "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return pairs.select(F.col("id").alias("query"), F.col("other").alias("id"), F.round(dot, 6).alias("similarity"))
+def left(searched: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs of queries and rows of their cells that the triangle inequality leaves."""
+    x = rows.select("group", "cell", F.col("away").alias("off"))
+    return searched.join(x, ["group", "cell"]).where(F.col("bound").isNull() | (F.abs(F.col("off") - F.col("away")) <= F.col("bound")))
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """To six places, halves away from zero."""
+    return np.copysign(np.floor(np.abs(x) * 1e6 + 0.5) / 1e6, x)
+
+
+def best_of_block(q: np.ndarray, bound: np.ndarray, away: np.ndarray, w: np.ndarray, ids: np.ndarray, off: np.ndarray, wanted: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of queries q and rows w with their similarity: of each query the best `wanted` rows at most, those within
+    its bound if it has one. Both are ordered by their distance to the pivot, so that a run of queries meets one
+    range of the rows; products of a run are taken at once, and those that may be wanted again one by one."""
+    least = np.where(np.isnan(bound), -np.inf, 1 - bound * bound / 2 - SLACK)
+    for k in range(0, len(q), CHUNK):
+        run, reach = slice(k, k + CHUNK), np.where(np.isnan(bound[k : k + CHUNK]), np.inf, bound[k : k + CHUNK] + SLACK)
+        low = np.searchsorted(off, (away[run] - reach).min(), "left")
+        high = np.searchsorted(off, (away[run] + reach).max(), "right")
+        for m in range(low, high, WIDTH):
+            near = slice(m, min(m + WIDTH, high))
+            s, limit = q[run] @ w[near].T, least[run].copy()
+            full = np.flatnonzero((s >= limit[:, None]).sum(axis=1) > wanted)
+            if len(full):
+                limit[full] = np.maximum(limit[full], np.partition(s[full], -wanted, axis=1)[:, -wanted] - SLACK)
+            i, j = np.nonzero(s >= limit[:, None])
+            found = np.zeros(len(i))
+            for x, y in zip(q[run][i].T, w[near][j].T, strict=True):
+                found += x * y
+            found = rounded(found)
+            order = np.lexsort((ids[near][j], -found, i))
+            i, j, found = i[order], j[order], found[order]
+            first = np.searchsorted(i, i, "left")
+            keep = np.arange(len(i)) - first < wanted
+            yield k + i[keep], m + j[keep], found[keep]
+
+
+def met(searched: DataFrame, rows: DataFrame, cells: DataFrame, wanted: int) -> DataFrame:
+    """(query, id, similarity) of queries and rows of their cells, block by block: of each query and block the best
+    `wanted` rows. Cells of many rows or many queries are dealt over several blocks."""
+    searched = staged(searched)
+    asked = searched.groupBy("group", "cell").agg(F.count(F.lit(1)).alias("asked"))
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    dealt = broadcast_if_small(staged(cells.join(asked, ["group", "cell"]).select("group", "cell", parts("n").alias("row_parts"), parts("asked").alias("query_parts"))))
+    part = lambda n: F.pmod(F.xxhash64(F.lit("block"), "id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = searched.join(dealt, ["group", "cell"]).select("group", "cell", every("row_parts").alias("r"), part("query_parts").alias("q"), "id", "u", "bound", "away")
+    right = rows.join(dealt, ["group", "cell"]).select("group", "cell", part("row_parts").alias("r"), every("query_parts").alias("q"), "id", "u", "away")
+    schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
+
+    def block(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not (a.num_rows and b.num_rows):
+            return schema.empty_table()
+        a, b = a.sort_by("away").combine_chunks(), b.sort_by("away").combine_chunks()
+        at = lambda t, c: t.column(c).combine_chunks()
+        q, w, ids = _matrix(at(a, "u")), _matrix(at(b, "u")), at(b, "id").to_numpy()
+        bound, away = np.asarray(at(a, "bound").fill_null(np.nan), float), at(a, "away").to_numpy()
+        found = list(best_of_block(q, bound, away, w, ids, at(b, "away").to_numpy(), wanted))
+        if not found:
+            return schema.empty_table()
+        i, j, s = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table([at(a, "id").to_numpy()[i], ids[j], s], schema=schema)
+
+    by = ["group", "cell", "r", "q"]
+    return left.groupBy(by).cogroup(right.groupBy(by)).applyInArrow(block, "query long, id long, similarity double")
 
 
 def firsts(found: DataFrame, wanted: int) -> DataFrame:
@@ -129,7 +192,7 @@ def firsts(found: DataFrame, wanted: int) -> DataFrame:
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, told: list | None = None) -> DataFrame:
     """(query, rank, id, similarity), staged: the k rows (group, id, u) nearest to each query (group, id, u) of its
-    group. `told` gets the numbers of pairs that were compared."""
+    group. `told` gets the numbers of pairs that the triangle inequality left."""
     with scratch(rows.sparkSession):
         # one more than wanted, as a query may be a row itself
         wanted = k + 1
@@ -142,14 +205,16 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, told: list | None = Non
         queries = staged(queries.select("group", "id", "u"))
         classes = staged(queries.groupBy("group", "u").agg(F.min("id").alias("class")))
         asked = classes.select("group", F.col("class").alias("id"), "u").withColumn("bound", F.lit(None).cast("double"))
-        near = staged(met(cells_to_search(asked, cells, pivots, wanted), rows))
-        first = staged(firsts(near, wanted))
+        cells = staged(cells)
+        searched = cells_to_search(asked, cells, pivots, wanted)
+        first = staged(firsts(met(searched, rows, cells, wanted), wanted))
         last = first.groupBy("query").agg(F.min("similarity").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("n") == wanted)
         bound = F.sqrt(2 - 2 * F.col("last") + 2 * SLACK)
         again = asked.drop("bound").join(last.select(F.col("query").alias("id"), bound.alias("bound")), "id").select("group", "id", "u", "bound")
-        more = staged(met(cells_to_search(again, cells, pivots, wanted), rows))
+        further = cells_to_search(again, cells, pivots, wanted)
+        more = met(further, rows, cells, wanted)
         if told is not None:
-            told += [near.count(), more.count()]
+            told += [left(searched, rows).count(), left(further, rows).count()]
         best = staged(firsts(first.drop("rank").union(more), wanted))
         members = queries.join(classes, ["group", "u"]).select(F.col("id").alias("member"), F.col("class").alias("query"))
         found = members.join(best.drop("rank"), "query").where(F.col("id") != F.col("member"))

@@ -1,6 +1,7 @@
 """Pruned nearest neighbours against all pairs."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from echolark.operators import neighbours
 
@@ -46,3 +47,30 @@ def test_vectors_without_direction_or_finite_values_are_left_out(spark):
     assert got == {1: [-1.0, 0.0], 2: [1.0, 0.0]}
     odd = spark.createDataFrame([("a", 9, [float("nan"), 1.0]), ("a", 10, [float("inf"), 1.0]), ("zz", 11, [1.0, 1.0])], "group string, id long, v array<double>")
     assert neighbours.units(odd, df, 2).count() == 0
+
+
+def test_pairs_stay_in_their_blocks(spark):
+    rng = np.random.default_rng(7)
+    rows = clustered(rng, 900, ["a"])
+    schema = "group string, id long, u array<double>"
+    pivots = {"a": np.array([rows[0][2]])}
+    cells = neighbours.with_cells(spark.createDataFrame(rows, schema), pivots)
+    sizes = cells.groupBy("group", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("least"), F.max("away").alias("most"))
+    asked = spark.createDataFrame([(g, 5000 + i, u) for g, i, u in rows[:200]], schema).withColumn("bound", F.lit(None).cast("double"))
+    found = neighbours.met(neighbours.cells_to_search(asked, sizes, pivots, 4), cells, sizes, 4)
+    # one cell of 900 rows: four rows a query go on, not 900
+    assert found.groupBy("query").count().where("count <> 4").count() == 0 and found.count() == 800
+
+
+def test_blocks_keep_ties_by_id_and_bounds():
+    rng = np.random.default_rng(3)
+    w = np.array([u for _, _, u in clustered(rng, 6000, ["a"])])
+    w[100:130] = w[7]
+    off = np.sort(rng.random(6000))
+    q, ids = w[[7, 500, 900]], rng.permutation(6000)
+    got = {}
+    for i, j, s in neighbours.best_of_block(q, np.full(3, np.nan), np.zeros(3), w, ids, off, 4):
+        for a, b, c in zip(i.tolist(), j.tolist(), s.tolist(), strict=True):
+            got.setdefault(a, []).append((-c, ids[b]))
+    for k in range(3):
+        assert sorted(got[k])[:4] == sorted((-round(float(x), 6), i) for x, i in zip(w @ q[k], ids, strict=True))[:4]
