@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echolark.core import broadcast_if_small, read_table, staged
+from echolark.operators.neighbours import nearest
 from echolark.operators.selection import exact_quantiles
 from echolark.plans.domain import DIST_SQL, LOGS_SQL, REC_SQL, decision_logs, distances, euclid, recordings
 
@@ -141,16 +142,23 @@ def robust_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mad.select("dim", F.round("center", 6).alias("center"), F.round(F.when(F.col("mad") > 1e-6, F.col("mad")).when(F.col("sd") > 1e-6, F.col("sd")).otherwise(1.0), 6).alias("scale"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
 def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three nearest training recordings by cosine of every validation recording (a bounded query set), exactly."""
+    """Three nearest training recordings by cosine of every validation recording, exactly, by the pruned search over
+    all rows. Cosines with vectors of no length or of values that are not finite are NaN, which ranks first, as in
+    SQL; those with missing vectors are null and rank last."""
     recs = recordings(spark, sf_dir)
-    q = recs.where("split = 'validation'").select(F.col("recording_id").alias("query_id"), F.col("feature").alias("f"))
-    pairs = recs.where("split = 'train'").join(q, F.col("recording_id") != F.col("query_id")).select("query_id", "recording_id", F.round(cosine(F.col("feature"), F.col("f")), 6).alias("similarity"))
+    dims = recs.agg(F.max(F.size("feature"))).first()[0] or 0
+    size = F.sqrt(F.aggregate("feature", F.lit(0.0), lambda s, x: s + x * x))
+    kind = F.when((F.size("feature") != dims) | F.col("size").isNull(), "missing").when((F.col("size") > 0) & (F.col("size") < float("inf")), "fine").otherwise("nan")
+    recs = recs.withColumn("size", size).select("split", F.col("recording_id").alias("id"), "feature", "size", kind.alias("kind"))
+    train, asked = recs.where("split = 'train'"), recs.where("split = 'validation'")
+    unit = lambda df: df.where("kind = 'fine'").select(F.lit("all").alias("group"), "id", F.transform("feature", lambda x: x / F.col("size")).alias("u"))
+    found = nearest(unit(train), unit(asked), 3).select(F.col("query").alias("query_id"), F.col("id").alias("recording_id"), "similarity")
+    # cosines without a value tie, so the first ids of each kind are all that can be among the three
+    few = train.select("id", "kind").withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy("id"))).where("k <= 4")
+    odd = asked.select(F.col("id").alias("query_id"), F.col("kind").alias("query_kind")).crossJoin(F.broadcast(few)).where("id <> query_id and (kind <> 'fine' or query_kind <> 'fine')")
+    similarity = F.when((F.col("kind") == "missing") | (F.col("query_kind") == "missing"), F.lit(None)).otherwise(float("nan"))
+    pairs = found.union(odd.select("query_id", F.col("id").alias("recording_id"), similarity.alias("similarity")))
     rk = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "recording_id"))
     return pairs.withColumn("rank", rk).where("rank <= 3")
 

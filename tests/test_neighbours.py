@@ -1,9 +1,10 @@
 """Pruned nearest neighbours against all pairs."""
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from echolark.operators import neighbours
+from echolark.operators import neighbours, scoring
 
 
 def all_pairs(rows, queries, k):
@@ -74,3 +75,15 @@ def test_blocks_keep_ties_by_id_and_bounds():
             got.setdefault(a, []).append((-c, ids[b]))
     for k in range(3):
         assert sorted(got[k])[:4] == sorted((-round(float(x), 6), i) for x, i in zip(w @ q[k], ids, strict=True))[:4]
+
+
+def test_cosines_without_a_value_rank_as_in_sql(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    for name, odd in (("odd", {5: [0.0] * 26, 40: [float("nan")] * 26, 200: None, 7: [0.0] * 26, 108: [0.0] * 26}), ("missing", {5: None, 6: None, 7: None, 108: None})):
+        rows = [(k, odd[k] if k in odd else rng.normal(size=26).tolist(), k % 3) for k in range(400)]
+        folder = tmp_path / name
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+        duckdb.sql(f"create or replace view embeddings as from '{folder}/embeddings.parquet/*.parquet'")
+        key = lambda r: (r[0], r[3], r[1], str(r[2]))
+        want = sorted((key(r) for r in duckdb.sql(scoring.ORACLE_SQL["knn_cosine"]).fetchall()), key=str)
+        assert sorted((key((r.query_id, r.recording_id, r.similarity, r.rank)) for r in scoring.knn_cosine(spark, str(folder)).collect()), key=str) == want
