@@ -1,7 +1,9 @@
 """Keyed state on streams: frame sessions, rate limits and sentence sessions.
 
 State is one small record a key: counters, the last frames of the rolling window, the last passes, or
-one row of the alignment. Keys and their rows come in Arrow batches, many keys in each. Within a micro-batch a key's rows are put in order of time;
+one row of the alignment. A call of a Python function of its own for every key and micro-batch costs far
+more than the rows it reads, so keys are dealt over BUCKETS by hash and a call has all keys of a bucket; its
+state is the list of their records. Within a micro-batch a key's rows are put in order of time;
 a row older than the last one read of its key is late and is told apart, not counted. Micro-batches
 bound what is sorted at once: sources should limit files or bytes a trigger.
 """
@@ -10,7 +12,7 @@ from __future__ import annotations
 
 import uuid
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -25,15 +27,69 @@ from echolark.streaming.replay import BatchFolder, drained, events_stream
 
 FRAME_MS, WINDOW_FRAMES, LEAST_FRAMES, REFRESH, MOST_FRAMES = 40, 40, 10, 5, 375
 FINISH_EVERY = 97
+BUCKETS = 1_024
 
 
-def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A key's rows of one micro-batch by time and id; rows without a time come last, with NaN for it."""
+def in_order(rows: Iterator[pd.DataFrame], by: Sequence[str] = ("t", "event_id")) -> pd.DataFrame:
+    """A group's rows of one micro-batch by time and id; rows without a time come last, with NaN for it."""
     found = [r for r in rows if len(r)]
-    return pd.concat(found).sort_values(["t", "event_id"], kind="stable") if found else pd.DataFrame(columns=["t", "event_id"])
+    return pd.concat(found).sort_values(list(by), kind="stable") if found else pd.DataFrame(columns=list(by))
 
 
-class FrameSession:
+class KeyedSession:
+    """What is done with a key's rows: step() takes the key, its rows (COLUMNS) in order and its state (None at
+    first), and gives the rows that come out and the new state. Called, a session serves one key."""
+
+    COLUMNS = ["t", "event_id", "rms", "finish"]
+
+    def step(self, key, rows: Iterable[tuple], old: tuple | None) -> tuple[list[tuple], tuple]:
+        raise NotImplementedError
+
+    def __call__(self, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out, new = self.step(key[0], listed(in_order(rows), self.COLUMNS), state.getOption)
+        state.update(new)
+        yield frame_of(out, self.SCHEMA)
+
+
+def listed(rows: pd.DataFrame, columns: list[str]) -> list[tuple]:
+    return list(zip(*[rows[c].tolist() for c in columns], strict=True)) if len(rows) else []
+
+
+class Buckets:
+    """A session over all keys of a bucket. Where sessions end by time (they have `due`), a bucket waits for the
+    first of its keys; those whose time has come and that have no new rows end, the others stay."""
+
+    def __init__(self, session: KeyedSession):
+        self.session = session
+        self.SCHEMA, self.STATE = session.SCHEMA, f"keys array<long>, records array<struct<{session.STATE}>>"
+
+    def __call__(self, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        session, out = self.session, []
+        held = dict(zip(*state.getOption, strict=True)) if state.exists else {}
+        seen: dict = {}
+        if not state.hasTimedOut:
+            r = in_order(rows, ("_null", "_key", "t", "event_id"))
+            of = zip(r["_null"].tolist(), r["_key"].tolist(), strict=True) if len(r) else ()
+            for (null, k), row in zip(of, listed(r, session.COLUMNS), strict=True):
+                seen.setdefault(None if null else k, []).append(row)
+        timed = hasattr(session, "due")
+        now = state.getCurrentWatermarkMs() if timed else 0
+        if timed:
+            for k in [k for k, old in held.items() if k not in seen and session.due(old) < now]:
+                out += session.ended(k, held.pop(k))
+        for k, its in seen.items():
+            found, held[k] = session.step(k, its, held.get(k))
+            out += found
+        if held:
+            state.update((list(held), [tuple(r) for r in held.values()]))
+            if timed:
+                state.setTimeoutTimestamp(max(min(map(session.due, held.values())), now + 1))
+        elif state.exists:
+            state.remove()
+        yield frame_of(out, session.SCHEMA)
+
+
+class FrameSession(KeyedSession):
     """Per-frame events of a session.
 
     One inference at most is under way: it is scheduled on a voiced frame at every REFRESH-th frame of a
@@ -44,24 +100,24 @@ class FrameSession:
     SCHEMA = "session_id long, event_id long, kind string, sequence int, elapsed_ms int, voice boolean, scheduled boolean, refreshed boolean, level double, voice_ratio double, status string"
     STATE = "n int, voiced int, pending boolean, waiting double, level double, closed boolean, last long, window array<double>"
 
-    def __call__(self, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, voiced, pending, waiting, level, closed, last, window = state.getOption or (0, 0, False, None, None, False, None, [])
+    def step(self, key, rows: Iterable[tuple], old: tuple | None) -> tuple[list[tuple], tuple]:
+        n, voiced, pending, waiting, level, closed, last, window = old or (0, 0, False, None, None, False, None, [])
         window = deque(window, WINDOW_FRAMES)
         out = []
-        for t, event, rms, finish in in_order(rows)[["t", "event_id", "rms", "finish"]].itertuples(index=False):
+        for t, event, rms, finish in rows:
             if pd.isna(t) or (pd.isna(rms) and not finish) or (last is not None and t < last):
                 kind = "invalid" if pd.isna(t) or (pd.isna(rms) and not finish) else "late"
-                out.append((key[0], event, kind, None, None, None, None, None, None, None, None))
+                out.append((key, event, kind, None, None, None, None, None, None, None, None))
                 continue
             last = int(t)
             if closed or n >= MOST_FRAMES:
-                out.append((key[0], event, "refused", None, None, None, None, None, None, None, "CLOSED" if closed else "TOO_LONG"))
+                out.append((key, event, "refused", None, None, None, None, None, None, None, "CLOSED" if closed else "TOO_LONG"))
                 continue
             if finish:
                 closed = True
                 ratio = voiced / n if n else 0.0
                 status = "RETRY" if n * FRAME_MS < 400 or ratio < 0.1 else "SCORED"
-                out.append((key[0], event, "final", n, n * FRAME_MS, None, None, None, level, ratio, status))
+                out.append((key, event, "final", n, n * FRAME_MS, None, None, None, level, ratio, status))
                 continue
             n, voice = n + 1, bool(rms >= VOICE_RMS)
             voiced += voice
@@ -72,34 +128,33 @@ class FrameSession:
             scheduled = voice and len(window) >= LEAST_FRAMES and n % REFRESH == 0
             if scheduled:
                 pending, waiting = True, float(np.mean(window))
-            out.append((key[0], event, "partial", n, n * FRAME_MS, voice, scheduled, refreshed, level, voiced / n, None))
-        state.update((n, voiced, pending, waiting, level, closed, last, [float(x) for x in window]))
-        yield frame_of(out, self.SCHEMA)
+            out.append((key, event, "partial", n, n * FRAME_MS, voice, scheduled, refreshed, level, voiced / n, None))
+        return out, (n, voiced, pending, waiting, level, closed, last, [float(x) for x in window])
 
 
-class RateLimit:
+class RateLimit(KeyedSession):
     """Whether each event passes: fewer than `limit` passed in the last `seconds`. State: the last passes."""
 
+    COLUMNS = ["t", "event_id"]
     SCHEMA = "user_id long, event_id long, allowed boolean"
     STATE = "t array<long>"
 
     def __init__(self, limit: int, seconds: int):
         self.limit, self.span = limit, seconds * 1_000_000
 
-    def __call__(self, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        log = deque((state.getOption or ([],))[0])
+    def step(self, key, rows: Iterable[tuple], old: tuple | None) -> tuple[list[tuple], tuple]:
+        log = deque((old or ([],))[0])
         out = []
-        for t, event in in_order(rows)[["t", "event_id"]].itertuples(index=False):
+        for t, event in rows:
             while not pd.isna(t) and log and log[0] <= t - self.span:
                 log.popleft()
-            out.append((key[0], event, len(log) < self.limit))
+            out.append((key, event, len(log) < self.limit))
             if out[-1][2] and not pd.isna(t):
                 log.append(int(t))
-        state.update((list(log),))
-        yield frame_of(out, self.SCHEMA)
+        return out, (list(log),)
 
 
-class SentenceSession:
+class SentenceSession(KeyedSession):
     """Listening at every frame, alignment at every fifth (a chunk), leading silence skipped, an error on
     exactly the second bad chunk in a row of one unit, and the verdict at the finish marker."""
 
@@ -111,23 +166,23 @@ class SentenceSession:
 
     STATE = "n int, chunk array<double>, costs array<double>, lengths array<int>, observed int, bad int, unit int, closed boolean, last long"
 
-    def __call__(self, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, chunk, costs, lengths, observed, bad, unit, closed, last = state.getOption or (0, [], None, None, 0, 0, -1, False, None)
+    def step(self, key, rows: Iterable[tuple], old: tuple | None) -> tuple[list[tuple], tuple]:
+        n, chunk, costs, lengths, observed, bad, unit, closed, last = old or (0, [], None, None, 0, 0, -1, False, None)
         aligner, chunk, out = OnlineAligner(np.array(self.reference), costs, lengths), list(chunk), []
-        for t, event, rms, finish in in_order(rows)[["t", "event_id", "rms", "finish"]].itertuples(index=False):
+        for t, event, rms, finish in rows:
             invalid = pd.isna(t) or (pd.isna(rms) and not finish)
             if invalid or closed or (last is not None and t < last):
-                out.append((key[0], event, "invalid" if invalid else "refused" if closed else "late", n, None, None, None, None))
+                out.append((key, event, "invalid" if invalid else "refused" if closed else "late", n, None, None, None, None))
                 continue
             last = int(t)
             if finish:
                 closed, d = True, aligner.final_distance()
                 status = "RETRY" if not np.isfinite(d) else "CORRECT" if d <= self.final else "INCORRECT"
-                out.append((key[0], event, "evaluated", n, None, None, round(d, 6) if np.isfinite(d) else None, status))
+                out.append((key, event, "evaluated", n, None, None, round(d, 6) if np.isfinite(d) else None, status))
                 continue
             n += 1
             chunk.append(float(rms))
-            out.append((key[0], event, "listening", n, None, None, None, None))
+            out.append((key, event, "listening", n, None, None, None, None))
             if len(chunk) < self.CHUNK:
                 continue
             x, chunk = np.array(chunk), []
@@ -136,15 +191,14 @@ class SentenceSession:
             place, local = aligner.push(features(x))
             observed += 1
             here = place * self.units // len(self.reference)
-            out.append((key[0], event, "alignment", n, place, here, round(local, 6), None))
+            out.append((key, event, "alignment", n, place, here, round(local, 6), None))
             if local <= self.error:
                 bad, unit = 0, -1
                 continue
             bad, unit = (bad + 1, unit) if here == unit else (1, here)
             if bad == self.CONFIRM:
-                out.append((key[0], event, "error", n, place, here, round(local, 6), "INCORRECT"))
-        state.update((n, chunk, aligner.costs.tolist(), aligner.lengths.tolist(), observed, bad, unit, closed, last))
-        yield frame_of(out, self.SCHEMA)
+                out.append((key, event, "error", n, place, here, round(local, 6), "INCORRECT"))
+        return out, (n, chunk, aligner.costs.tolist(), aligner.lengths.tolist(), observed, bad, unit, closed, last)
 
 
 def features(chunk: np.ndarray) -> np.ndarray:
@@ -167,8 +221,11 @@ def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_stream(spark, sf_dir).select(F.col("user_id").alias("session_id"), "event_id", F.unix_micros("ts").alias("t"), (F.col("value") / 500.0).alias("rms"), finish)
 
 
-def keyed(stream: DataFrame, key: str, session) -> DataFrame:
-    return stream.groupBy(key).applyInPandasWithState(session, session.SCHEMA, session.STATE, "append", GroupStateTimeout.NoTimeout)
+def keyed(stream: DataFrame, key: str, session: KeyedSession, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
+    """What a session gives for every key (a long, null too) of a stream."""
+    of = stream.withColumns({"_null": F.col(key).isNull(), "_key": F.coalesce(F.col(key).cast("long"), F.lit(0)), "_bucket": F.pmod(F.xxhash64(F.lit("bucket"), key), F.lit(BUCKETS))})
+    buckets = Buckets(session)
+    return of.groupBy("_bucket").applyInPandasWithState(buckets, buckets.SCHEMA, buckets.STATE, "append", timeout)
 
 
 def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from echolark.functions.alignment import OnlineAligner, cosine_costs
 from echolark.streaming import sessions, stateful
+from echolark.streaming.replay import drained, replayed
 
 
 class State:
@@ -104,3 +106,36 @@ def test_a_sentence_error_is_told_once_in_a_unit():
     assert errors and len({r.unit for r in errors}) == len(errors) and out[-1].status == "INCORRECT"
     silent = run(session, [[(k, k, 0.0, False) for k in range(10)] + [(20, 20, 0.0, True)]])
     assert [r.kind for r in silent].count("alignment") == 0 and silent[-1].status == "RETRY"
+
+
+class Held:
+    """The state of a bucket."""
+
+    def __init__(self):
+        self.getOption, self.exists, self.hasTimedOut = None, False, False
+
+    def update(self, values):
+        self.getOption, self.exists = values, True
+
+
+def test_a_call_serves_all_keys_of_a_bucket():
+    rng = np.random.default_rng(9)
+    rows = [(k * 40, k, float(x), k % 23 == 0) for k, x in enumerate(rng.random(600))]
+    keys = rng.integers(0, 40, 600).tolist()
+    for make in (lambda: stateful.RateLimit(3, 5), stateful.FrameSession, lambda: stateful.SentenceSession([[1.0, 0.0, 0.0]] * 4, 2, 0.2, 0.1)):
+        cuts = [slice(0, 200), slice(200, 600)]
+        alone = [str(tuple(r[1:])) for k in range(40) for r in run(make(), [[x for x, of in zip(rows[c], keys[c], strict=True) if of == k] for c in cuts])]
+        bucket, state, out = stateful.Buckets(make()), Held(), []
+        for c in cuts:
+            frame = pd.DataFrame(rows[c], columns=["t", "event_id", "rms", "finish"]).assign(_key=[max(k, 1) for k in keys[c]], _null=[k == 0 for k in keys[c]])
+            out += [r for f in bucket((5,), iter([frame.sample(frac=1, random_state=1)]), state) for r in f.itertuples(index=False)]
+        assert sorted(str(tuple(r[1:])) for r in out if pd.isna(r[0]) or r[0] != 1) == sorted(str(tuple(r[1:])) for k in range(40) if k != 1 for r in run(make(), [[x for x, of in zip(rows[c], keys[c], strict=True) if of == k] for c in cuts]))
+        assert len(out) == len(alone) and len(state.getOption[0]) == 40 and None in state.getOption[0]
+
+
+def test_many_keys_make_no_more_calls_than_buckets(spark):
+    rows = spark.range(6000).select((F.col("id") % 3000).alias("user_id"), F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"))
+    told, stream = [], replayed(rows, "ts", 2)
+    out = drained(stateful.keyed(stream.withColumn("t", F.unix_micros("ts")), "user_id", stateful.RateLimit(1, 10**6)), told=told)
+    assert out.where("allowed").count() == 3000 and out.count() == 6000
+    assert told[-1].stateOperators[0].numRowsTotal <= stateful.BUCKETS
