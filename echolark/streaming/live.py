@@ -8,19 +8,19 @@ from __future__ import annotations
 
 import uuid
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from echolark.core import hold, read_table, shared_dir
 from echolark.functions.warping import StreamLabels, StreamWarp
 from echolark.plans.domain import VOICE_RMS, recordings
 from echolark.streaming.replay import BatchFolder, drained, landed, replayed, streamed
-from echolark.streaming.stateful import FRAME_MS, LEAST_FRAMES, MOST_FRAMES, REFRESH, WINDOW_FRAMES, frame_of, in_order
+from echolark.streaming.stateful import FRAME_MS, LEAST_FRAMES, MOST_FRAMES, REFRESH, WINDOW_FRAMES, KeyedSession, keyed
 
 FRAMES, DIMS, EACH = 16, 4, 8
 MOST_WORDS = 1_000
@@ -78,39 +78,40 @@ def final_verdict(duration_ms: int, voice_ratio: float, words: list[str], target
     return "REVIEW_REQUIRED", "PHONETIC_BACKEND_DISABLED"
 
 
-class WordGate:
+class WordGate(KeyedSession):
     """Per-frame events with distances to every word.
 
     Each word's prototype is warped to all frames as they come; its distance is the least among paths that
     end in the last WINDOW_FRAMES frames. On a voiced frame at every REFRESH-th of LEAST_FRAMES or more, an
     inference is scheduled, unless one is under way; its distances are seen from the next frame on."""
 
+    COLUMNS = ["t", "event_id", "feature", "finish", "words"]
     SCHEMA = "session_id long, event_id long, kind string, sequence int, elapsed_ms int, voice boolean, rms double, peak double, clipping boolean, scheduled boolean, refreshed boolean, closest string, distance double, confidence double, status string, reason string"
     STATE = "n int, voiced int, costs array<double>, lengths array<int>, ends array<double>, pending array<double>, latest array<double>, closed boolean, last long"
 
     def __init__(self, prototypes: dict[str, list[list[float]]]):
         self.words, self.rows = list(prototypes), np.array(list(prototypes.values()))
 
-    def __call__(self, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, voiced, costs, lengths, ends, pending, latest, closed, last = state.getOption or (0, 0, None, None, [], None, None, False, None)
+    def step(self, key, rows: Iterable[tuple], old: tuple | None) -> tuple[list[tuple], tuple]:
+        n, voiced, costs, lengths, ends, pending, latest, closed, last = old or (0, 0, None, None, [], None, None, False, None)
         warp, kinds, out = StreamWarp(self.rows, costs, lengths), len(self.words), []
         ends = deque((np.array(ends[k : k + kinds]) for k in range(0, len(ends), kinds)), WINDOW_FRAMES)
         blank = (None,) * 9
-        for t, event, feature, finish, words in in_order(rows)[["t", "event_id", "feature", "finish", "words"]].itertuples(index=False):
+        for t, event, feature, finish, words in rows:
             bad = pd.isna(t) or not finish and (feature is None or len(feature) != self.rows.shape[2] or not np.isfinite(np.asarray(feature, float)).all())
             if bad or (last is not None and t < last):
-                out.append((key[0], event, "invalid" if bad else "late", None, None, *blank, None, None))
+                out.append((key, event, "invalid" if bad else "late", None, None, *blank, None, None))
                 continue
             last = int(t)
             if closed or (n >= MOST_FRAMES and not finish):
-                out.append((key[0], event, "refused", None, None, *blank, "CLOSED" if closed else "TOO_LONG", None))
+                out.append((key, event, "refused", None, None, *blank, "CLOSED" if closed else "TOO_LONG", None))
                 continue
             ratio = voiced / n if n else 0.0
             if finish:
                 closed = True
                 held = np.min(ends, axis=0) if ends else None
                 verdict = final_verdict(n * FRAME_MS, ratio, self.words, f"w{words[0]}" if len(words) else None, held)
-                out.append((key[0], event, "final", n, n * FRAME_MS, None, None, None, None, None, None, *self._nearest(held), *verdict))
+                out.append((key, event, "final", n, n * FRAME_MS, None, None, None, None, None, None, *self._nearest(held), *verdict))
                 continue
             x = np.asarray(feature, float)
             n, rms, peak = n + 1, float(np.sqrt((x * x).mean())), float(np.abs(x).max())
@@ -123,10 +124,9 @@ class WordGate:
             scheduled = voice and n >= LEAST_FRAMES and n % REFRESH == 0
             if scheduled:
                 pending = np.min(ends, axis=0)
-            out.append((key[0], event, "partial", n, n * FRAME_MS, voice, round(rms, 6), round(peak, 6), peak >= 0.99, scheduled, refreshed, *self._nearest(latest), None, None))
+            out.append((key, event, "partial", n, n * FRAME_MS, voice, round(rms, 6), round(peak, 6), peak >= 0.99, scheduled, refreshed, *self._nearest(latest), None, None))
         flat = lambda a: None if a is None else [float(v) for v in a]
-        state.update((n, voiced, warp.costs.ravel().tolist(), warp.lengths.ravel().tolist(), flat(np.concatenate(ends)) if ends else [], flat(pending), flat(latest), closed, last))
-        yield frame_of(out, self.SCHEMA)
+        return out, (n, voiced, warp.costs.ravel().tolist(), warp.lengths.ravel().tolist(), flat(np.concatenate(ends)) if ends else [], flat(pending), flat(latest), closed, last)
 
     def _nearest(self, distances) -> tuple[str | None, float | None, float | None]:
         if distances is None or not np.isfinite(np.asarray(distances, float)).any():
@@ -136,10 +136,11 @@ class WordGate:
         return self.words[k], round(float(d[k]), 6), round(float(softmax(d)[k]), 6)
 
 
-class WordUpdates:
+class WordUpdates(KeyedSession):
     """Words of a known sentence, each told once, in order, once its place on the path is settled and its last
     label is STABLE_MS old; one a frame at most, and the rest at the finish marker."""
 
+    COLUMNS = ["t", "event_id", "feature", "finish", "words"]
     SCHEMA = "session_id long, event_id long, word int, start_ms int, end_ms int, told_ms int, final boolean"
     STATE = "n int, scores array<double>, moves array<int>, settled int, starts array<int>, ends array<int>, place int, told int, closed boolean, last long"
     STABLE_MS, BEAM, SHARPNESS = 240, 30.0, 40.0
@@ -149,10 +150,10 @@ class WordUpdates:
         """Three labels from 1 to 3 that spell a word's number; 0 is the blank."""
         return [word % 3 + 1, word // 3 % 3 + 1, (word + 1) % 3 + 1]
 
-    def __call__(self, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, scores, moves, settled, starts, ends, place, told, closed, last = state.getOption or (0, None, [], 0, [], [], 0, 0, False, None)
+    def step(self, key, rows: Iterable[tuple], old: tuple | None) -> tuple[list[tuple], tuple]:
+        n, scores, moves, settled, starts, ends, place, told, closed, last = old or (0, None, [], 0, [], [], 0, 0, False, None)
         starts, ends, out, path = list(starts), list(ends), [], None
-        for t, event, feature, finish, words in in_order(rows)[["t", "event_id", "feature", "finish", "words"]].itertuples(index=False):
+        for t, event, feature, finish, words in rows:
             if pd.isna(t) or closed or (last is not None and t < last) or (not finish and (feature is None or not np.isfinite(np.asarray(feature, float)).all())):
                 continue
             last = int(t)
@@ -175,48 +176,42 @@ class WordUpdates:
             if closed and place % size == size - 1 and len(ends) < len(starts):
                 ends.append(settled)
             while told < len(ends) and (closed or ends[told] * FRAME_MS <= n * FRAME_MS - self.STABLE_MS):
-                out.append((key[0], event, told, starts[told] * FRAME_MS, ends[told] * FRAME_MS, n * FRAME_MS, closed))
+                out.append((key, event, told, starts[told] * FRAME_MS, ends[told] * FRAME_MS, n * FRAME_MS, closed))
                 told += 1
                 if not closed:
                     break
         if path is not None:
             scores, moves = (None if path.scores is None else path.scores.tolist()), path.kept()
-        state.update((n, scores, moves, settled, starts, ends, place, told, closed, last))
-        yield frame_of(out, self.SCHEMA)
+        return out, (n, scores, moves, settled, starts, ends, place, told, closed, last)
 
 
-class Utterances:
+class Utterances(KeyedSession):
     """Runs of a key's events without a gap longer than `gap_s`. An utterance ends when a later event shows
     the gap, or by time: when the watermark has passed its last event by as much, its state goes."""
 
+    COLUMNS = ["t", "voice"]
     SCHEMA = "user_id long, start_us long, end_us long, events long, voiced long, closed_by string"
     STATE = "start long, last long, n long, voiced long"
 
     def __init__(self, gap_s: int):
         self.gap = gap_s * 1_000_000
 
-    def __call__(self, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            start, last, n, voiced = state.get
-            state.remove()
-            yield frame_of([(key[0], start, last, n, voiced, "time")], self.SCHEMA)
-            return
-        open_, out = state.getOption, []
-        for t, voice in in_order(rows)[["t", "voice"]].itertuples(index=False):
+    def due(self, record: tuple) -> int:
+        """The first millisecond behind the gap."""
+        return (record[1] + self.gap) // 1000 + 1
+
+    def ended(self, key, record: tuple) -> list[tuple]:
+        return [(key, *record, "time")]
+
+    def step(self, key, rows: Iterable[tuple], old: tuple | None) -> tuple[list[tuple], tuple]:
+        open_, out = old, []
+        for t, voice in rows:
             if open_ and t - open_[1] > self.gap:
-                out.append((key[0], *open_, "event"))
+                out.append((key, *open_, "event"))
                 open_ = None
             start, last, n, voiced = open_ or (int(t), int(t), 0, 0)
             open_ = (min(start, int(t)), max(last, int(t)), n + 1, voiced + int(bool(voice)))
-        if open_:
-            state.update(open_)
-            # the first millisecond behind the gap
-            state.setTimeoutTimestamp(max((open_[1] + self.gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield frame_of(out, self.SCHEMA)
-
-
-def keyed(stream: DataFrame, key: str, session, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
-    return stream.groupBy(key).applyInPandasWithState(session, session.SCHEMA, session.STATE, "append", timeout)
+        return out, open_
 
 
 def stream_word_gate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from test_stateful import State
 
 from echolark.functions.signal import ctc_path
 from echolark.functions.warping import StreamLabels, StreamWarp, ending_distances, frame_costs
-from echolark.streaming import live, stateful
+from echolark.streaming import live, stateful, stateful
 from echolark.streaming.replay import BatchFolder, drained, landed, streamed
 
 
@@ -188,6 +188,16 @@ def test_time_ends_utterances_and_frees_their_state(spark, tmp_path):
     assert told[-1].stateOperators[0].numRowsTotal == 1 and len([p for p in told if p.numInputRows]) >= 3
 
 
+def test_keys_of_one_bucket_end_by_their_own_times(spark, monkeypatch):
+    monkeypatch.setattr(stateful, "BUCKETS", 1)
+    rows = [(u, 100 * u + k, 1000 + 300 * (u % 3) + k * 10, True) for u in range(30) for k in range(4)] + [(40, 5000, 1500, True), (41, 5001, 10**6, False)]
+    e, told = events(spark, rows), []
+    found = drained(live.utterance_stream(streamed(spark, landed(e, "ts", 6), EVENTS), 100, "10 seconds"), told=told).collect()
+    got = sorted((r.user_id, r.start_us // 10**6, r.events) for r in found)
+    assert got == sorted([(u, 1000 + 300 * (u % 3), 4) for u in range(30)] + [(40, 1500, 1)])
+    assert max(p.stateOperators[0].numRowsTotal for p in told if p.stateOperators) == 1
+
+
 def test_late_rows_do_not_count(spark, tmp_path):
     folder, log = str(tmp_path / "in"), str(tmp_path / "log")
     batches = [[(1, 1, 1000, True)], [(2, 2, 5000, True)], [(1, 3, 1050, True), (2, 4, 5050, True)], [(9, 99, 10**6, False)]]
