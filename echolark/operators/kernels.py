@@ -104,14 +104,31 @@ def audio(values: list[float]) -> bytes:
     return (loud * np.sin(phase) * 32767).astype("<i2").tobytes()
 
 
+#: Recordings whose audio a task works on at once.
+SLICE = 256
+
+
+def in_slices(it: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, SLICE at once: audio is far larger than the values it is made of."""
+    for b in it:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
+def mfcc_of(pcm: bytes) -> tuple[np.ndarray | None, int]:
+    """Summary features and number of frames of audio; none where it is silent."""
+    if not len(pcm) or not np.frombuffer(pcm, "<i2").astype(float).std() > 1:
+        return None, 0
+    return mfcc_summary(pcm), len(mfcc_temporal(pcm))
+
+
 def mfcc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary features and frame count of every recording's audio; silent ones have none."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            pcm = [audio(x) for x in b.column(1).to_pylist()]
-            loud = [len(x) > 0 and np.frombuffer(x, "<i2").astype(float).std() > 1 for x in pcm]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([mfcc_summary(x) if ok else None for x, ok in zip(pcm, loud, strict=True)], pa.list_(pa.float32())), pa.array([len(mfcc_temporal(x)) if ok else 0 for x, ok in zip(pcm, loud, strict=True)], pa.int32())], names=["recording_id", "feature", "frames"])
+        for b in in_slices(it):
+            found = [mfcc_of(audio(x)) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f for f, _ in found], pa.list_(pa.float32())), pa.array([n for _, n in found], pa.int32())], names=["recording_id", "feature", "frames"])
 
     rows = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("recording_id"), "embedding")
     return rows.mapInArrow(batches, "recording_id long, feature array<float>, frames int")
@@ -126,7 +143,7 @@ def resampled_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("recording_id"), "embedding")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in in_slices(it):
             ids, found = b.column(0).to_pylist(), []
             for i, values in zip(ids, b.column(1).to_pylist(), strict=True):
                 pcm = audio(values)
