@@ -79,9 +79,17 @@ def consent_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(c, "client_id")
 
 
+#: Rows that a task sorts, on average, so that more input makes more tasks and not larger ones.
+TASK_ROWS = 250_000
+
+
 def repetition_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repetitions numbered within sessions, with verdicts; sessions must exist."""
-    li = read_table(spark, sf_dir, "lineitem").join(read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    """Repetitions numbered within sessions, with verdicts; sessions must exist. Rows are dealt by session once, over
+    tasks of bounded size, for the join, the order and the counts."""
+    li = read_table(spark, sf_dir, "lineitem")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-li.count() // TASK_ROWS))
+    li = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag").repartition(parts, "l_orderkey")
+    li = li.join(read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     verdict = F.when(F.col("l_returnflag") == "A", "accepted").when(F.col("l_returnflag") == "N", "retry").otherwise("speech_error")
     return li.select("l_orderkey", "l_partkey", F.row_number().over(order).alias("repetition_index"), verdict.alias("verdict")).groupBy("l_orderkey", "verdict").agg(F.count(F.lit(1)).alias("n"), F.min("repetition_index").alias("first_index"))
