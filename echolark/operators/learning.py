@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from echolark.core import broadcast_if_small, hold, read_table, shared_dir, staged
 from echolark.functions.cleaning import REPORT, clean_pcm
 from echolark.operators.calibration import _PH, _phones
-from echolark.operators.kernels import audio
+from echolark.operators.kernels import SLICE, audio
 from echolark.operators.scoring import THRESHOLDS_SQL, thresholds
 from echolark.plans.domain import distances
 
@@ -64,8 +64,10 @@ def cleaning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            found = pd.DataFrame([clean_pcm(bytes(3200) + audio(x) + bytes(3200)) for x in b.embedding], columns=names)
-            yield found.drop(columns="pcm").assign(recording_id=b.recording_id.to_numpy())
+            for k in range(0, len(b), SLICE):
+                part = b[k : k + SLICE]
+                found = [[v for v, n in zip(clean_pcm(bytes(3200) + audio(x) + bytes(3200)), names, strict=True) if n != "pcm"] for x in part.embedding]
+                yield pd.DataFrame(found, columns=[n for n in names if n != "pcm"]).assign(recording_id=part.recording_id.to_numpy())
 
     names = [c.split()[0] for c in REPORT.split(", ")]
     rows = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("recording_id"), "embedding")
