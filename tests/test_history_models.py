@@ -56,3 +56,8 @@ def test_few_rows_or_one_class_are_refused(spark, tmp_path):
         learning.save_forest(rows.limit(200), str(tmp_path), "v1")
     with pytest.raises(ValueError, match="two classes"):
         learning.save_forest(rows.withColumn("label", F.lit(1.0)), str(tmp_path), "v1")
+
+
+def test_training_keeps_the_node_of_each_row(spark):
+    model = learning.fit_forest(examples(spark), learning.FEATURES, "label", 3, 3)
+    assert model.getCacheNodeIds()
