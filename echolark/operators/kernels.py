@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from echolark.core import read_table, staged
 from echolark.functions.resampling import resample_pcm
-from echolark.functions.signal import dtw_distances, medoids, mfcc_summary, mfcc_temporal, signal_stats, subsequence_dtw
+from echolark.functions.signal import dtw_distances, medoids, mfcc_summary, mfcc_temporal, signal_stats, subsequence_distances
 from echolark.plans.domain import MOST_WORDS, recordings
 
 FRAME_DIMS = 4
@@ -30,15 +30,8 @@ def _matrix(x) -> np.ndarray:
     return np.asarray(x, float).reshape(-1, FRAME_DIMS)
 
 
-def _paired(f):
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(_matrix(x), _matrix(y)) for x, y in zip(a, b, strict=True)])
-
-    return F.pandas_udf(run, "double")
-
-
-def _warped(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Warped distances of a batch of pairs, those of one shape together, PAIRS at a time."""
+def _by_shape(f, a: pd.Series, b: pd.Series) -> pd.Series:
+    """f of a batch of pairs, those of one shape together, PAIRS at a time."""
     left, right, out = [_matrix(x) for x in a], [_matrix(x) for x in b], np.zeros(len(a))
     shapes: dict[tuple, list[int]] = {}
     for k, (x, y) in enumerate(zip(left, right, strict=True)):
@@ -46,10 +39,20 @@ def _warped(a: pd.Series, b: pd.Series) -> pd.Series:
     for at in shapes.values():
         for k in range(0, len(at), PAIRS):
             part = at[k : k + PAIRS]
-            out[part] = dtw_distances(np.stack([left[i] for i in part]), np.stack([right[i] for i in part]))
+            out[part] = f(np.stack([left[i] for i in part]), np.stack([right[i] for i in part]))
     return pd.Series(out)
 
 
+def _warped(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Warped distances of a batch of pairs."""
+    return _by_shape(dtw_distances, a, b)
+
+
+def _sought(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Least distances of a batch of prototypes to windows of their sequences."""
+    return _by_shape(subsequence_distances, a, b)
+
+
 def medoid_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to four medoids of each word by warped distance, among CANDIDATES rows evenly spaced over the ids at most."""
     t = temporal(spark, sf_dir).where("split = 'train'")
@@ -91,7 +94,7 @@ def subsequence_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each test recording's least distance to the middle half of any of its word's medoids."""
     p = checked_medoids(spark, sf_dir).select("word", F.slice("embedding", 17, 32).alias("prototype"))
     v = temporal(spark, sf_dir).where("split = 'test'").select("recording_id", "word", "embedding")
-    d = v.join(F.broadcast(p), "word").withColumn("d", _paired(subsequence_dtw)("prototype", "embedding"))
+    d = v.join(F.broadcast(p), "word").withColumn("d", F.pandas_udf(_sought, "double")("prototype", "embedding"))
     return d.groupBy("recording_id", "word").agg(F.round(F.min("d"), 6).alias("distance"))
 
 
