@@ -71,34 +71,47 @@ class StreamLabels:
         self.over[2:] = (self.places[2:] != blank) & (self.places[2:] != self.places[:-2])
         n = len(self.places)
         self.scores = None if scores is None else np.array(scores, float)
-        self.moves = [np.array(moves[k : k + n], int) for k in range(0, len(moves or ()), n)]
+        self.moves = list(np.array([] if moves is None else moves, int).reshape(-1, n))
+        # ways to each place: staying, one step, a step over a place; barred are those that never can be taken
+        self.ways, self.barred = np.full((3, n), -np.inf), np.where(self.over[2:], 0.0, -np.inf)
+        self.all = self.roots = np.arange(n)
+        for move in self.moves[:0:-1]:
+            self.roots = self.roots - move[self.roots]
 
     def push(self, evidence: np.ndarray) -> list[int]:
         """Places of the frames that are certain from now on."""
         emitted, n = np.asarray(evidence, float)[self.places], len(self.places)
         if self.scores is None:
-            self.scores = np.where(np.arange(n) < 2, emitted, -np.inf)
-            self.moves.append(np.zeros(n, int))
+            self.scores, move = np.where(self.all < 2, emitted, -np.inf), np.zeros(n, int)
         else:
-            ways = np.full((3, n), -np.inf)
+            ways = self.ways
             ways[0], ways[1, 1:] = self.scores, self.scores[:-1]
-            ways[2, 2:] = np.where(self.over[2:], self.scores[:-2], -np.inf)
-            self.moves.append(ways.argmax(axis=0))
+            np.add(self.scores[:-2], self.barred, out=ways[2, 2:])
+            move = ways.argmax(axis=0)
             self.scores = ways.max(axis=0) + emitted
+        self.roots = self.roots[self.all - move] if self.moves else self.all
+        self.moves.append(move)
         self.scores[self.scores < self.scores.max() - self.beam] = -np.inf
         return self._given_out(np.flatnonzero(np.isfinite(self.scores)))
 
     def _given_out(self, ends: np.ndarray) -> list[int]:
-        """Follows the live places back to where they are one, and gives out the path up to there."""
+        """Where the live places are one at the oldest frame kept, follows them back to the last frame at which they
+        are, and gives out the path up to there. `roots` has the place of each at the oldest frame, so that frames
+        at which nothing is settled are not followed back."""
+        if not len(ends) or (self.roots[ends] != self.roots[ends[0]]).any():
+            return []
+        at, roots = ends, self.all
         for k in range(len(self.moves) - 1, -1, -1):
-            if len(ends) == 1:
-                path, place = [int(ends[0])], int(ends[0])
+            if (at == at[0]).all():
+                path, place = [int(at[0])], int(at[0])
                 for moves in self.moves[k:0:-1]:
                     place -= int(moves[place])
                     path.append(place)
-                self.moves = self.moves[k + 1 :]
+                self.moves, self.roots = self.moves[k + 1 :], roots
                 return path[::-1]
-            ends = np.unique(ends - self.moves[k][ends])
+            roots = self.all.copy()
+            roots[ends] = at
+            at = at - self.moves[k][at]
         return []
 
     def finish(self) -> list[int]:

@@ -142,7 +142,9 @@ class WordUpdates(KeyedSession):
 
     COLUMNS = ["t", "event_id", "feature", "finish", "words"]
     SCHEMA = "session_id long, event_id long, word int, start_ms int, end_ms int, told_ms int, final boolean"
-    STATE = "n int, scores array<double>, moves array<int>, settled int, starts array<int>, ends array<int>, place int, told int, closed boolean, last long"
+    STATE = "n int, scores binary, moves binary, settled int, starts array<int>, ends array<int>, place int, told int, closed boolean, last long"
+    #: What is left of a session that has ended; its rows change nothing any more.
+    ENDED = (0, None, None, 0, None, None, 0, 0, True, None)
     STABLE_MS, BEAM, SHARPNESS = 240, 30.0, 40.0
 
     @staticmethod
@@ -151,21 +153,24 @@ class WordUpdates(KeyedSession):
         return [word % 3 + 1, word // 3 % 3 + 1, (word + 1) % 3 + 1]
 
     def step(self, key, rows: Iterable[tuple], old: tuple | None) -> tuple[list[tuple], tuple]:
-        n, scores, moves, settled, starts, ends, place, told, closed, last = old or (0, None, [], 0, [], [], 0, 0, False, None)
+        if old and old[8]:
+            return [], self.ENDED
+        n, scores, moves, settled, starts, ends, place, told, closed, last = old or (0, None, None, 0, [], [], 0, 0, False, None)
         starts, ends, out, path = list(starts), list(ends), [], None
         for t, event, feature, finish, words in rows:
             if pd.isna(t) or closed or (last is not None and t < last) or (not finish and (feature is None or not np.isfinite(np.asarray(feature, float)).all())):
                 continue
             last = int(t)
             if path is None:
-                path = StreamLabels([x for w in words for x in self.labels_of(int(w))], 0, self.BEAM, scores, moves)
+                path = StreamLabels([x for w in words for x in self.labels_of(int(w))], 0, self.BEAM, *(None if v is None else np.frombuffer(v, kind) for v, kind in ((scores, float), (moves, np.int8))))
             size = 2 * len(self.labels_of(0))
             if finish:
                 certain, closed = path.finish(), True
             else:
                 n += 1
                 x = self.SHARPNESS * np.asarray(feature, float)
-                certain = path.push(x - x.max() - np.log(np.exp(x - x.max()).sum()))
+                x -= x.max()
+                certain = path.push(x - np.log(np.exp(x).sum()))
             for at in certain:
                 # place 2 k + 1 holds label k; a word is over where the path leaves its last label
                 if at != place and place % size == size - 1:
@@ -180,8 +185,10 @@ class WordUpdates(KeyedSession):
                 told += 1
                 if not closed:
                     break
+        if closed:
+            return out, self.ENDED
         if path is not None:
-            scores, moves = (None if path.scores is None else path.scores.tolist()), path.kept()
+            scores, moves = (None if path.scores is None else path.scores.tobytes()), np.array(path.kept(), np.int8).tobytes()
         return out, (n, scores, moves, settled, starts, ends, place, told, closed, last)
 
 
