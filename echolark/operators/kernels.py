@@ -7,16 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolark.core import read_table, staged
+from echolark.core import read_table
 from echolark.functions.resampling import resample_pcm
-from echolark.functions.signal import dtw_distances, medoids, mfcc_summary, mfcc_temporal, signal_stats, subsequence_distances
+from echolark.functions.signal import dtw_distances, mfcc_summary, mfcc_temporal, signal_stats, subsequence_distances
+from echolark.operators.warped_medoids import FRAME_DIMS, warped_medoids
 from echolark.plans.domain import MOST_WORDS, recordings
 
-FRAME_DIMS = 4
-CANDIDATES = 36
 PAIRS = 2_000
 
 
@@ -54,28 +53,13 @@ def _sought(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def medoid_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to four medoids of each word by warped distance, among CANDIDATES rows evenly spaced over the ids at most."""
-    t = temporal(spark, sf_dir).where("split = 'train'")
-    w = Window.partitionBy("word")
-    t = t.withColumns({"k": F.row_number().over(w.orderBy("recording_id")) - 1, "n": F.count(F.lit(1)).over(w)})
-    spaced = F.transform(F.sequence(F.lit(0), F.lit(CANDIDATES - 1)), lambda i: F.floor(i * (F.col("n") - 1) / (CANDIDATES - 1)))
-    t = t.where((F.col("n") <= CANDIDATES) | F.array_contains(spaced, F.col("k").cast("bigint")))
-
-    def choose(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("recording_id").reset_index(drop=True)
-        d = np.zeros((len(g), len(g)))
-        left, right = np.triu_indices(len(g), 1)
-        if len(left):
-            d[left, right] = d[right, left] = _warped(g.embedding[left], g.embedding[right])
-        at = medoids(d)
-        return pd.DataFrame({"word": g.word.iloc[0], "proto_idx": range(len(at)), "recording_id": g.recording_id[at].to_numpy(), "embedding": [g.embedding[k] for k in at]})
-
-    return t.groupBy("word").applyInPandas(choose, "word string, proto_idx int, recording_id long, embedding array<float>")
+    """Up to four medoids of each word by warped distance among all its training rows, staged."""
+    return warped_medoids(temporal(spark, sf_dir).where("split = 'train'"))
 
 
 def checked_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """medoid_prototypes, staged; those of more than MOST_WORDS words are refused, as every executor gets all."""
-    found = staged(medoid_prototypes(spark, sf_dir))
+    """medoid_prototypes; those of more than MOST_WORDS words are refused, as every executor gets all."""
+    found = medoid_prototypes(spark, sf_dir)
     if found.select("word").distinct().limit(MOST_WORDS + 1).count() > MOST_WORDS:
         raise ValueError(f"more than {MOST_WORDS} words")
     return found
